@@ -391,6 +391,8 @@ SELECT account_type, n, round(gini, 6) AS gini, round(entropy, 6) AS entropy, ro
         "stratified_split_dense": f"WITH {split_ctes(DENSE)} SELECT client_id, churned, in_train FROM split",
         "oversample": f"WITH {split_ctes(SPARSE)} SELECT client_id, churned, copy FROM balanced",
         "oversample_dense": f"WITH {split_ctes(DENSE)} SELECT client_id, churned, copy FROM balanced",
+        "balance_weights": f"""WITH {label_ctes(SPARSE)}, k AS (SELECT churned, count(*) AS own, max(count(*)) OVER () AS largest FROM labels_ GROUP BY churned)
+SELECT client_id, churned, round(largest / own, 6) AS weight FROM labels_ JOIN k USING (churned)""",
         "kfold": f"""WITH {label_ctes(SPARSE)} SELECT client_id, churned,
 CAST((row_number() OVER (PARTITION BY churned ORDER BY {hashed(':fold')}, client_id) - 1) % 5 AS INTEGER) AS fold FROM labels_""",
         "encoded_features": f"WITH {sparse} SELECT client_id, {flags}, sector, {dummies} FROM features",

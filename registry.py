@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, TimestampNTZType
 
-from ebbtide.operators import cleaning, definitions, encoding, evaluation, history, imputing, monthly, reports
-from ebbtide.operators import sampling, value
-from ebbtide.params import Study, ValueParams
+from ebbtide.operators import cleaning, comparison, definitions, encoding, evaluation, forests, history, imputing
+from ebbtide.operators import logistic, monthly, reports, sampling, trees, value
+from ebbtide.params import ForestParams, LogisticParams, Settings, Study, ValueParams
 from ebbtide.plans import features as plan
+from ebbtide.plans import scoring, training
 from ebbtide.session import materialise
 from ebbtide.sources import sample_tables as sample
 from ebbtide.sources.sample_tables import DENSE, SPARSE
@@ -219,6 +220,7 @@ def sql_queries() -> dict[str, Query]:
         "stratified_split_dense": lambda s, d: split(s, d, DENSE),
         "oversample": lambda s, d: balanced(s, d),
         "oversample_dense": lambda s, d: balanced(s, d, DENSE),
+        "balance_weights": lambda s, d: sampling.balance_weights(label(s, d)),
         "kfold": lambda s, d: sampling.stratified_folds(label(s, d), SPARSE.seed, SPARSE.folds),
         "encoded_features": encoded,
         "deterministic_score": lambda s, d: scored(s, d),
@@ -242,6 +244,190 @@ def sql_queries() -> dict[str, Query]:
     }
 
 
+# Grids of the registered fits; `forest_grid` builds the whole one.
+FITS = Settings(
+    study=SPARSE,
+    forests=(ForestParams(4, 20, max_depth=6), ForestParams(6, 20, max_depth=6)),
+    logistic=LogisticParams(lambdas=8, max_iter=50),
+)
+_stages: dict[tuple[str, str, str], object] = {}
+
+
+def stage(name: str, spark: SparkSession, folder: str):
+    """A training stage, run once per session and folder and shared by the queries that report on it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _stages:
+        _stages[key] = _STAGES[name](lambda other: stage(other, spark, folder), spark, folder)
+    return _stages[key]
+
+
+_STAGES = {
+    "data": lambda get, s, d: training.prepare(
+        sample.order_sales(s, d), sample.customer_accounts(s, d), SPARSE),
+    "vectors": lambda get, s, d: training.tree_vectors(get("data")),
+    "grown": lambda get, s, d: training.grow_tree(get("data"), get("vectors"), FITS),
+    "tree": lambda get, s, d: training.train_tree(get("data"), get("vectors"), FITS),
+    "forest": lambda get, s, d: training.train_forest(get("data"), get("vectors"), FITS),
+    "logistic": lambda get, s, d: training.train_logistic(get("data"), FITS),
+    "trained": lambda get, s, d: training.evaluate(get("data"), get("tree"), get("forest"), get("logistic")),
+    "metrics": lambda get, s, d: materialise(get("trained").metrics(), "metrics"),
+}
+
+
+def records(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A report of a few rows that a fit has left on the driver."""
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+
+
+def tree_fit(spark: SparkSession, folder: str) -> DataFrame:
+    data, result = stage("data", spark, folder), stage("tree", spark, folder)
+    nodes = result.tree.nodes.values()
+    final = result.tree.leaves_at(result.cp)
+    row = {
+        "rows": data.rows, "nodes": len(nodes), "leaves": sum(not n.inner for n in nodes), "cp_cv": result.cp_cv,
+        "cp_limit": result.cp_limit, "cp": result.cp, "final_leaves": len(final),
+        "final_depth": max(len(result.tree.ancestors(n)) - 1 for n in final),
+    }
+    return records(spark, [row], "rows long, nodes int, leaves int, cp_cv double, cp_limit double, cp double, "
+                                 "final_leaves int, final_depth int")
+
+
+def tree_fit_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    data, inputs = stage("data", spark, folder), stage("vectors", spark, folder)
+    model = trees.fit_tree(inputs.train, FITS.tree, data.rows, inputs.most_levels, entropy=True)
+    tree = trees.weakest_links(trees.node_table(spark, model), FITS.tree.cp)
+    return records(spark, tree.path, "cp double, splits int, leaves int, rel_error double")
+
+
+def tree_cp_path(spark: SparkSession, folder: str) -> DataFrame:
+    _, tree = stage("grown", spark, folder)
+    table = records(spark, tree.path, "cp double, splits int, leaves int, rel_error double")
+    return table.withColumn("within_limit", F.col("leaves") <= FITS.tree.max_leaves)
+
+
+def tree_rules(spark: SparkSession, folder: str) -> DataFrame:
+    result = stage("tree", spark, folder)
+    return trees.rules(spark, result.tree, result.cp, result.inputs.names, result.inputs.levels)
+
+
+def importance_top(spark: SparkSession, folder: str) -> DataFrame:
+    tree, forest = stage("tree", spark, folder), stage("forest", spark, folder)
+    table = comparison.importance_table(
+        spark, "tree", trees.importance(tree.tree, tree.cp, tree.inputs.names), 15)
+    return table.unionByName(comparison.importance_table(
+        spark, "forest", forests.importance(forest.model, forest.inputs.names), 15))
+
+
+def rf_grid(spark: SparkSession, folder: str) -> DataFrame:
+    result = stage("forest", spark, folder)
+    return forests.grid_table(result.inputs.train, result.grid, result.scores)
+
+
+def rf_fit(spark: SparkSession, folder: str) -> DataFrame:
+    result = stage("forest", spark, folder)
+    row = {"trees": result.model.getNumTrees, "nodes": result.model.totalNumNodes, "mtry": result.best.mtry,
+           "accuracy": float(max(result.scores))}
+    return records(spark, [row], "trees int, nodes int, mtry int, accuracy double")
+
+
+def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
+    inputs = stage("vectors", spark, folder)
+    return forests.out_of_bag(inputs.train, FITS.forests[0], 5, levels=inputs.most_levels)
+
+
+def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    result = stage("forest", spark, folder)
+    return result.test.withColumn("predicted", (F.col("score") > 0.5).cast("int"))
+
+
+def corr_screen(spark: SparkSession, folder: str) -> DataFrame:
+    return records(spark, stage("logistic", spark, folder).selection.pairs,
+                   "variable string, kept string, abs_correlation double, dropped boolean")
+
+
+def vif(spark: SparkSession, folder: str) -> DataFrame:
+    selection = stage("logistic", spark, folder).selection
+    parts = [records(spark, rows, "variable string, vif double").withColumn("step", F.lit(step))
+             for step, rows in (("screened", selection.screened_vif), ("final", selection.final_vif))]
+    return parts[0].unionByName(parts[1]).withColumn("over_limit", F.col("vif") > FITS.logistic.vif_limit)
+
+
+def lasso_path(spark: SparkSession, folder: str) -> DataFrame:
+    selection = stage("logistic", spark, folder).selection
+    path = records(spark, selection.path, "lambda double, mean_auc double, se_auc double")
+    return path.withColumn("chosen", F.col("lambda") == selection.chosen_lambda)
+
+
+def lr_selection_summary(spark: SparkSession, folder: str) -> DataFrame:
+    s = stage("logistic", spark, folder).selection
+    steps = {"original": s.original, "after correlation screen": s.screened, "selected by lasso": s.selected,
+             "in the model": s.final}
+    rows = [{"place": i, "step": name, "variables": len(v)} for i, (name, v) in enumerate(steps.items())]
+    return records(spark, rows, "place int, step string, variables int")
+
+
+def glm_fit(spark: SparkSession, folder: str) -> DataFrame:
+    wald = stage("logistic", spark, folder).wald
+    return wald.select("variable", "coefficient", "p", "significant").orderBy("p", "variable")
+
+
+def glm_summary(spark: SparkSession, folder: str) -> DataFrame:
+    result = stage("logistic", spark, folder)
+    return logistic.glm_summary(result.train, result.model)
+
+
+def lr_predict(spark: SparkSession, folder: str) -> DataFrame:
+    result = stage("logistic", spark, folder)
+    parts = [t.select(F.lit(n).alias("part"), "client_id", "churned", "score")
+             for n, t in (("train", result.train), ("test", result.test))]
+    return parts[0].unionByName(parts[1]).withColumn("predicted", (F.col("score") > 0.5).cast("int"))
+
+
+def score_clients(spark: SparkSession, folder: str) -> DataFrame:
+    data, tree = stage("data", spark, folder), stage("tree", spark, folder)
+    clients = scoring.score_clients(
+        sample.order_sales(spark, folder), sample.customer_accounts(spark, folder), SPARSE, tree.pipeline(),
+        tree.leaves, data.medians)
+    return value.expected_loss(clients, FITS.value)
+
+
+def fitted_queries() -> dict[str, Query]:
+    """Queries that report on trained models; SQL cannot train them."""
+    return {
+        "tree_fit": tree_fit,
+        "tree_fit_entropy": tree_fit_entropy,
+        "tree_cp_path": tree_cp_path,
+        "tree_cv": lambda s, d: records(
+            s, stage("tree", s, d).cv, "cp double, mean_error double, sd_error double"),
+        "tree_predict": lambda s, d: stage("tree", s, d).test,
+        "tree_rules": tree_rules,
+        "importance_top": importance_top,
+        "rf_grid": rf_grid,
+        "rf_fit": rf_fit,
+        "rf_oob": rf_oob,
+        "rf_predict": forest_scores,
+        "corr_screen": corr_screen,
+        "vif": vif,
+        "lasso_path": lasso_path,
+        "lasso_select": lambda s, d: records(
+            s, stage("logistic", s, d).selection.selected, "variable string, coefficient double"),
+        "lr_selection_summary": lr_selection_summary,
+        "glm_fit": glm_fit,
+        "glm_summary": glm_summary,
+        "glm_wald": lambda s, d: stage("logistic", s, d).wald,
+        "glm_effects": lambda s, d: logistic.effects(stage("logistic", s, d).wald),
+        "lr_predict": lr_predict,
+        "model_metrics": lambda s, d: stage("metrics", s, d),
+        "leaderboard": lambda s, d: comparison.leaderboard(stage("metrics", s, d)),
+        "model_metrics_long": lambda s, d: comparison.metrics_long(stage("metrics", s, d)),
+        "importance_by_model": lambda s, d: stage("trained", s, d).importances(),
+        "best_model": lambda s, d: comparison.best_model(stage("metrics", s, d)),
+        "executive_summary": lambda s, d: comparison.executive_summary(
+            stage("metrics", s, d), ["metrics", "summary"]).drop("analysed_on"),
+        "score_clients": score_clients,
+    }
+
+
 def _summary(table: DataFrame) -> DataFrame:
     return reports.table_summary(table, numeric(table))
 
@@ -256,4 +442,4 @@ def _tidied(make: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _tidied(make) for name, make in sql_queries().items()}
+    return {name: _tidied(make) for name, make in (sql_queries() | fitted_queries()).items()}
