@@ -57,14 +57,15 @@ def table_summary(df: DataFrame, columns: list[str], reuse: bool = True) -> Data
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     values = materialise(values, "summary") if reuse else values
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]))
-    moments = values.select(pairs.alias("p")).select("p.*").groupBy("column").agg(
-        F.count("value").alias("present"),
-        F.count_if(F.col("value").isNull()).alias("missing"),
-        F.min("value").alias("minimum"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("maximum"),
-    )
+    aggregates, rows = [], []
+    for i, c in enumerate(columns):
+        parts = {
+            "present": F.count(c), "missing": F.count_if(F.col(c).isNull()), "minimum": F.min(c), "mean": F.avg(c),
+            "maximum": F.max(c),
+        }
+        aggregates += [part.alias(f"{name}_{i}") for name, part in parts.items()]
+        rows.append(F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in parts]))
+    moments = values.agg(*aggregates).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
     names = F.create_map(*[F.lit(x) for p, n in SUMMARY_PROBABILITIES.items() for x in (p, n)])
     quantiles = (
         exact_quantiles(values, columns, list(SUMMARY_PROBABILITIES))

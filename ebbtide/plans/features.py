@@ -11,6 +11,7 @@ from ..operators.cleaning import clean_accounts, clean_sales, last_day, one_per_
 from ..operators.history import HISTORY, RATIOS, client_features, window_columns, with_ratios
 from ..operators.imputing import fill_medians, fill_two_event, fill_windows, fit_medians
 from ..params import Study
+from ..session import materialise
 
 CONTEXT = ["province", "account_type", "sector"]
 
@@ -54,9 +55,13 @@ def fill_rules(raw: DataFrame, study: Study) -> DataFrame:
 def training_features(
     raw_sales: DataFrame, raw_accounts: DataFrame, study: Study, dedup: str = "before"
 ) -> tuple[DataFrame, dict[str, float]]:
-    """The labelled feature table and the medians that filled it."""
+    """The labelled feature table and the medians that filled it.
+
+    The table is written before the medians are fitted on it, so the sales are read once.
+    """
     sales = clean_sales(raw_sales, until=study.last_look_ahead())
     filled = fill_rules(raw_features(sales, clean_accounts(raw_accounts), study, dedup=dedup), study)
+    filled = materialise(filled, "features")
     medians = fit_medians(filled)
     return fill_medians(filled, medians), medians
 
@@ -78,7 +83,10 @@ def scoring_features(
         sales, clean_accounts(raw_accounts), study, study.scoring_start, cut, labelled=False, dedup=dedup
     )
     filled = fill_rules(raw, study)
-    return fill_medians(filled, fit_medians(filled) if medians is None else medians), cut
+    if medians is None:
+        filled = materialise(filled, "scoring-features")
+        medians = fit_medians(filled)
+    return fill_medians(filled, medians), cut
 
 
 def deterministic_score(features: DataFrame) -> DataFrame:

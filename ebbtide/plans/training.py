@@ -70,7 +70,7 @@ def split_and_balance(table: DataFrame, study: Study, medians: dict[str, float],
 
 def prepare(raw_sales: DataFrame, raw_accounts: DataFrame, study: Study, leak: bool = False) -> TrainingData:
     table, medians = training_features(raw_sales, raw_accounts, study)
-    return split_and_balance(materialise(table, "features"), study, medians, leak)
+    return split_and_balance(table, study, medians, leak)
 
 
 @dataclass
