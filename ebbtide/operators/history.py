@@ -43,7 +43,11 @@ def client_days(sales: DataFrame) -> DataFrame:
 
 
 def _days_with_gaps(sales: DataFrame, cut: dt.date, since: dt.date | None, horizon: int) -> DataFrame:
-    """Client days up to `cut` with the gap to the day before; days after `cut` keep only the `returned` mark."""
+    """Client days up to `cut` with the gap to the day before; days after `cut` keep only the `returned` mark.
+
+    `pivot`, the client's first mean amount, is what squared deviations are taken from: near the data, so no digits
+    are lost, and known without a second pass over the client.
+    """
     last = cut + dt.timedelta(days=horizon)
     rows = sales.filter(F.col("sale_date") <= F.lit(last))
     if since is not None:
@@ -54,20 +58,19 @@ def _days_with_gaps(sales: DataFrame, cut: dt.date, since: dt.date | None, horiz
     def keep(value: Column) -> Column:
         return F.when(past, value) if horizon else value
 
-    client = Window.partitionBy("client_id")
-    in_order = client.orderBy("sale_date", "product")
+    in_order = Window.partitionBy("client_id").orderBy("sale_date", "product")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     measures = ["n", "n_status", "n_approved", "n_amount", "amount_sum", "amount_m2"]
-    marked = days.select(
+    day, mean = keep(F.col("sale_date")), F.try_divide(F.col("amount_sum"), F.col("n_amount"))
+    return days.select(
         "client_id",
         *[keep(F.col(c)).alias(c) for c in ["product", *measures]],
-        keep(F.col("sale_date")).alias("day"),
+        day.alias("day"),
         keep(F.datediff("sale_date", F.lag("sale_date").over(in_order))).alias("gap"),
+        (day.isNotNull() & F.lead(day).over(in_order).isNull()).alias("is_last"),
+        keep(F.first(mean, ignorenulls=True).over(so_far)).alias("pivot"),
         (~past).alias("returned"),
     )
-    return marked.withColumns({
-        "client_last_day": F.max("day").over(client),
-        "client_mean": F.try_divide(F.sum("amount_sum").over(client), F.sum("n_amount").over(client)),
-    })
 
 
 def _gap_measures() -> dict[str, Column]:
@@ -76,13 +79,9 @@ def _gap_measures() -> dict[str, Column]:
     gaps = n - 1
     total = F.datediff(F.max("day"), F.min("day")).cast("long")
     squares = F.coalesce(F.sum(F.col("gap").cast("long") * F.col("gap")), F.lit(0))
-    on_last_day = F.col("day") == F.col("client_last_day")
+    last_gap = F.when(F.col("n") >= 2, 0).otherwise(F.col("gap"))
     return {
-        "days_between_last_two": F.when(
-            n >= 2,
-            F.when(F.sum(F.when(on_last_day, F.col("n"))) >= 2, 0.0)
-            .otherwise(F.max(F.when(on_last_day, F.col("gap")))),
-        ).cast("double"),
+        "days_between_last_two": F.max(F.when(F.col("is_last"), last_gap)).cast("double"),
         "gap_deviation": F.when(gaps >= 2, F.sqrt((gaps * squares - total * total) / (gaps * (gaps - 1)))),
         "mean_gap": F.when(n > 1, total / gaps),
     }
@@ -95,10 +94,13 @@ def _history_measures(cut: dt.date, new_client_days: int) -> dict[str, Column]:
     known = F.col("product").isNotNull()
     online, in_person = F.bool_or(known & (kind == ONLINE)), F.bool_or(known & (kind == IN_PERSON))
     approved = F.when(F.sum("n_status") == n, F.sum("n_approved"))
-    offset = F.try_divide(F.col("amount_sum"), F.col("n_amount")) - F.col("client_mean")
-    spread = F.sum(F.col("amount_m2") + F.col("n_amount") * offset * offset)
+    mean = F.try_divide(F.sum("amount_sum"), paid)
+    offset = F.try_divide(F.col("amount_sum"), F.col("n_amount")) - F.col("pivot")
+    around_pivot = F.sum(F.col("amount_m2") + F.col("n_amount") * offset * offset)
+    pivot = F.max("pivot")
+    spread = F.greatest(around_pivot - paid * (mean - pivot) * (mean - pivot), F.lit(0.0))
     return _gap_measures() | {
-        "mean_ticket": F.try_divide(F.sum("amount_sum"), paid),
+        "mean_ticket": mean,
         "ticket_deviation": F.when(paid > 1, F.sqrt(spread / (paid - 1))),
         "total_amount": sum_or_zero(F.col("amount_sum")),
         "last_sale_month": F.month(F.max("day")),
