@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import hash_key
 from ..functions.columns import HASH_BITS
 
-HASH_BUCKET_BITS = 10
+HASH_BUCKET_BITS = 12
 MAX_BUCKETS = 1024
 
 
@@ -108,7 +108,7 @@ def _hashed(df: DataFrame, key: str, seed: int, salt: str) -> DataFrame:
 
 
 def _bucket_offsets(keyed: DataFrame, stratum: str) -> DataFrame:
-    """Rows before each hash bucket of each stratum: strata x 1024 rows at most."""
+    """Rows before each hash bucket of each stratum: strata x 4096 rows at most."""
     counts = keyed.groupBy(stratum, "bucket").agg(F.count(F.lit(1)).alias("bucket_rows"))
     along = Window.partitionBy(stratum).orderBy("bucket")
     return counts.select(

@@ -20,11 +20,12 @@ def varying_columns(df: DataFrame, columns: list[str]) -> list[str]:
 def correlation_drops(names: list[str], matrix: list[list[float]], limit: float = 0.9) -> list[dict]:
     """Pairs over the limit, strongest first; each drops its earlier variable unless one of the two is gone.
 
-    Works on the columns x columns matrix. Exact duplicates count as a pair too.
+    Works on the columns x columns matrix. Exact duplicates count as a pair too. Strengths are compared to 9 digits,
+    so that rounding noise does not order equal pairs.
     """
     size = len(names)
     pairs = [
-        (abs(matrix[i][j]), j, i) for j in range(size) for i in range(size)
+        (round(abs(matrix[i][j]), 9), j, i) for j in range(size) for i in range(size)
         if j < i and not math.isnan(matrix[i][j]) and abs(matrix[i][j]) > limit
     ]
     gone: set[int] = set()

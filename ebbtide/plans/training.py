@@ -231,9 +231,10 @@ def linear_columns(data: TrainingData, settings: Settings) -> tuple[DataFrame, d
     return materialise(encoded.select("client_id", LABEL, "fold", *columns), "linear-train"), levels, columns
 
 
-def select_variables(data: TrainingData, settings: Settings) -> Selection:
+def select_variables(data: TrainingData, settings: Settings, linear: tuple | None = None) -> Selection:
+    """Screens, LASSO and forced drops; `linear` is the result of `linear_columns` if it is at hand."""
     params = settings.logistic
-    train, levels, columns = linear_columns(data, settings)
+    train, levels, columns = linear or linear_columns(data, settings)
     screened, pairs = screening.screen(train, columns, params.correlation_limit)
     screened_vif = _vif_of(train, screened)
     _, vectors = _assembled(train, screened)
@@ -248,8 +249,8 @@ def select_variables(data: TrainingData, settings: Settings) -> Selection:
     )
 
 
-def train_logistic(data: TrainingData, settings: Settings) -> LogisticResult:
-    selection = select_variables(data, settings)
+def train_logistic(data: TrainingData, settings: Settings, linear: tuple | None = None) -> LogisticResult:
+    selection = select_variables(data, settings, linear)
     pipeline, vectors = _assembled(selection.train, selection.final)
     model = logistic.fit_glm(vectors, LABEL)
     test = pipeline.transform(linear_table(data.test, selection.levels))

@@ -217,6 +217,10 @@ roc AS (
     CAST(sum(pos) OVER () AS BIGINT) AS positives, CAST(sum(neg) OVER () AS BIGINT) AS negatives FROM points)"""
 
 
+BEST_CUT = """SELECT COALESCE(threshold, '-infinity'::DOUBLE) AS t FROM roc
+ORDER BY tp::HUGEINT * negatives - fp::HUGEINT * positives DESC, threshold NULLS FIRST LIMIT 1"""
+
+
 def rates_select(source: str, extra: str = "") -> str:
     """The measures from tp, fp, fn, tn by their textbook formulas."""
     return f"""
@@ -268,6 +272,51 @@ pairs AS ({" UNION ALL ".join(parts)})
 SELECT column_1, column_2, round(CASE WHEN isnan(c) THEN NULL ELSE c END, 6) AS correlation FROM pairs {where}"""
 
 
+LINEAR = [c for c in HISTORY if c not in ("sales", "approved")] + window_columns(SPARSE.windows) + RATIOS
+
+
+def screen_ctes() -> str:
+    """Greedy correlation screen over the balanced rows: pairs in order, one recursion step each."""
+    doubles = ", ".join(f"{c}::DOUBLE AS {c}" for c in LINEAR)
+    spread = " UNION ALL ".join(f"SELECT '{c}' AS name, {i} AS place FROM b HAVING var_samp({c}) > 0"
+                                for i, c in enumerate(LINEAR))
+    pairs = " UNION ALL ".join(
+        f"SELECT '{a}' AS variable, '{b}' AS kept, {i} AS i, {j} AS j, abs(corr({a}, {b})) AS strength FROM b"
+        for i, a in enumerate(LINEAR) for j, b in enumerate(LINEAR) if i < j)
+    whole = split_ctes(SPARSE) + "," + feature_ctes(SPARSE)
+    return f"""RECURSIVE {ACCOUNTS.strip()},{whole},
+b AS MATERIALIZED (SELECT {doubles}, bal.churned::DOUBLE AS churned FROM balanced bal JOIN features f USING (client_id)),
+varying AS ({spread}),
+strong AS (SELECT p.*, row_number() OVER (ORDER BY round(strength, 9) DESC, i, j) AS step FROM ({pairs}) p
+  WHERE strength > 0.9 AND NOT isnan(strength) AND variable IN (SELECT name FROM varying) AND kept IN (SELECT name FROM varying)),
+walk AS (SELECT 0::BIGINT AS step, []::VARCHAR[] AS gone, false AS dropped
+  UNION ALL SELECT s.step, CASE WHEN list_contains(w.gone, s.variable) OR list_contains(w.gone, s.kept) THEN w.gone
+      ELSE list_append(w.gone, s.variable) END,
+    NOT (list_contains(w.gone, s.variable) OR list_contains(w.gone, s.kept))
+  FROM walk w JOIN strong s ON s.step = w.step + 1),
+screened AS (SELECT name FROM varying WHERE NOT list_contains((SELECT gone FROM walk ORDER BY step DESC LIMIT 1), name))"""
+
+
+def lambdas_sql(count: int = 8, ratio: float = 1e-3) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS name, abs(corr({c}, churned)) AS c FROM b" for c in LINEAR)
+    return f"""WITH {screen_ctes()},
+top AS (SELECT max(c) * (SELECT stddev_pop(churned) FROM b) AS largest FROM ({parts}) WHERE name IN (SELECT name FROM screened))
+SELECT CAST(i AS INTEGER) AS step, round(largest * {ratio}::DOUBLE ** (i / {count - 1}), 6) AS lambda
+FROM top, range({count}) r(i)"""
+
+
+def bag_sql() -> str:
+    bounds, below, k_factorial = [], 0.0, 1
+    for k in range(6):
+        k_factorial *= max(k, 1)
+        below += 0.36787944117144233 / k_factorial
+        bounds.append(below)
+    cases = " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}.0" for k, b in enumerate(bounds))
+    parts = " UNION ALL ".join(
+        f"SELECT client_id, {t} AS tree, {hashed(f':bag{t}')} / {float(2**60)!r}::DOUBLE AS u FROM labels_" for t in range(3))
+    return f"WITH {label_ctes(SPARSE)} SELECT client_id, tree, CAST(CASE {cases} ELSE 6.0 END AS DOUBLE) AS weight FROM ({parts})"
+
+
 def histogram_sql() -> str:
     parts = []
     for c in NUMERIC:
@@ -310,7 +359,8 @@ many AS (SELECT o_custkey AS client_id, o_orderpriority AS province, o_orderstat
     medians = ", ".join(
         near(f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM raw_features))") + f" AS {c}" for c in TWO_EVENT_COLUMNS)
     sweep = " UNION ALL ".join(
-        f"SELECT {t}::DOUBLE AS threshold, {cell_counts(t)} FROM scored" for t in ("0.3", "0.4", "0.5", "0.6", "0.7"))
+        f"SELECT {t}::DOUBLE AS threshold, {cell_counts(t)} FROM scored"
+        for t in ("0.3", "0.4", "0.5", "0.6", "(SELECT t FROM best)"))
     unpivoted = " UNION ALL ".join(
         f"SELECT client_id, '{c}' AS name, {near(f'{c}::DOUBLE')} AS value FROM f" for c in NUMERIC)
     pivot = ", ".join(
@@ -381,6 +431,9 @@ SELECT part, churned, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTIT
         "feature_histogram": histogram_sql(),
         "feature_correlation": correlation_sql(),
         "corr_pairs": correlation_sql("WHERE abs(CASE WHEN isnan(c) THEN NULL ELSE c END) > 0.9"),
+        "corr_screen": f"WITH {screen_ctes()} SELECT variable, kept, round(strength, 6) AS abs_correlation, dropped FROM strong JOIN walk USING (step)",
+        "lasso_lambdas": lambdas_sql(),
+        "bag_weights": bag_sql(),
         "impurity_by_group": f"""WITH {sparse}, k AS (SELECT account_type, churned, count(*) AS n FROM features GROUP BY ALL),
 p AS (SELECT account_type, n, n / sum(n) OVER (PARTITION BY account_type) AS p, (SELECT count(DISTINCT churned) FROM features) AS classes FROM k),
 m AS (SELECT account_type, CAST(sum(n) AS BIGINT) AS n, sum(p * (1 - p)) AS gini, -sum(p * log2(p)) AS entropy,
@@ -399,7 +452,7 @@ CAST((row_number() OVER (PARTITION BY churned ORDER BY {hashed(':fold')}, client
         "deterministic_score": out(sparse, "scored", ["client_id", "churned", "score"]),
         "confusion": f"WITH {sparse} SELECT {cell_counts('0.5')} FROM scored",
         "classifier_metrics": f"WITH {sparse}, c AS (SELECT {cell_counts('0.5')} FROM scored), {rates_select('c')} SELECT tp, fp, fn, tn, " + ", ".join(f"round({r}, 6) AS {r}" for r in RATES) + " FROM rates",
-        "threshold_sweep": f"WITH {sparse}, c AS ({sweep}), {rates_select('c')} SELECT threshold, " + ", ".join(f"round({r}, 6) AS {r}" for r in ("accuracy", "sensitivity", "specificity", "f1_yes")) + " FROM rates",
+        "threshold_sweep": f"WITH {roc_ctes(SPARSE)}, best AS ({BEST_CUT}), c AS ({sweep}), {rates_select('c')} SELECT threshold, " + ", ".join(f"round({r}, 6) AS {r}" for r in ("accuracy", "sensitivity", "specificity", "f1_yes")) + " FROM rates",
         "roc_curve": f"WITH {roc_ctes(SPARSE)} SELECT score, round(threshold, 6) AS threshold, tp, fp, round(tp / positives, 6) AS tpr, round(fp / negatives, 6) AS fpr, positives, negatives FROM roc",
         "auc": f"""WITH {roc_ctes(SPARSE)}, b AS (SELECT pos, neg, (sum(neg) OVER () - sum(neg) OVER (ORDER BY score DESC))::DOUBLE AS below FROM points)
 SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS auc FROM b""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, TimestampNTZType
 
 from ebbtide.operators import cleaning, comparison, definitions, encoding, evaluation, forests, history, imputing
-from ebbtide.operators import logistic, monthly, reports, sampling, trees, value
+from ebbtide.operators import logistic, monthly, reports, sampling, screening, trees, value
 from ebbtide.params import ForestParams, LogisticParams, Settings, Study, ValueParams
 from ebbtide.plans import features as plan
 from ebbtide.plans import scoring, training
@@ -156,7 +156,6 @@ def impute_median(spark: SparkSession, folder: str) -> DataFrame:
 def sql_queries() -> dict[str, Query]:
     """Queries that SQL can check."""
     windows = history.window_columns(SPARSE.windows)
-    thresholds = [0.3, 0.4, 0.5, 0.6, 0.7]
     dense_columns = [c for c in plan.predictors(DENSE) if c not in plan.CONTEXT]
     return {
         "sales_scan": lambda s, d: sample.order_sales(s, d),
@@ -215,6 +214,9 @@ def sql_queries() -> dict[str, Query]:
         "feature_histogram": with_table(lambda t: reports.feature_histogram(t, numeric(t))),
         "feature_correlation": with_table(lambda t: reports.correlation_table(t, numeric(t))),
         "corr_pairs": with_table(lambda t: reports.correlated_pairs(reports.correlation_table(t, numeric(t)))),
+        "corr_screen": corr_screen,
+        "lasso_lambdas": lasso_lambdas,
+        "bag_weights": bag_weights,
         "impurity_by_group": with_table(lambda t: reports.impurity_by_group(t, "account_type", "churned")),
         "stratified_split": lambda s, d: split(s, d),
         "stratified_split_dense": lambda s, d: split(s, d, DENSE),
@@ -226,7 +228,7 @@ def sql_queries() -> dict[str, Query]:
         "deterministic_score": lambda s, d: scored(s, d),
         "confusion": lambda s, d: evaluation.confusion(scored(s, d)),
         "classifier_metrics": lambda s, d: evaluation.classifier_metrics(scored(s, d)),
-        "threshold_sweep": lambda s, d: evaluation.threshold_sweep(scored(s, d), thresholds),
+        "threshold_sweep": threshold_sweep,
         "roc_curve": lambda s, d: evaluation.roc_curve(scored(s, d)),
         "auc": lambda s, d: evaluation.auc(scored(s, d)),
         "youden": lambda s, d: evaluation.youden(evaluation.roc_curve(scored(s, d))),
@@ -268,7 +270,10 @@ _STAGES = {
     "grown": lambda get, s, d: training.grow_tree(get("data"), get("vectors"), FITS),
     "tree": lambda get, s, d: training.train_tree(get("data"), get("vectors"), FITS),
     "forest": lambda get, s, d: training.train_forest(get("data"), get("vectors"), FITS),
-    "logistic": lambda get, s, d: training.train_logistic(get("data"), FITS),
+    "linear": lambda get, s, d: training.linear_columns(get("data"), FITS),
+    "screened": lambda get, s, d: screening.screen(
+        get("linear")[0], get("linear")[2], FITS.logistic.correlation_limit),
+    "logistic": lambda get, s, d: training.train_logistic(get("data"), FITS, get("linear")),
     "trained": lambda get, s, d: training.evaluate(get("data"), get("tree"), get("forest"), get("logistic")),
     "metrics": lambda get, s, d: materialise(get("trained").metrics(), "metrics"),
 }
@@ -341,8 +346,30 @@ def forest_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corr_screen(spark: SparkSession, folder: str) -> DataFrame:
-    return records(spark, stage("logistic", spark, folder).selection.pairs,
-                   "variable string, kept string, abs_correlation double, dropped boolean")
+    _, pairs = stage("screened", spark, folder)
+    return records(spark, pairs, "variable string, kept string, abs_correlation double, dropped boolean")
+
+
+def lasso_lambdas(spark: SparkSession, folder: str) -> DataFrame:
+    """The penalties to try: from the one that lets the first screened variable in, downwards."""
+    columns, _ = stage("screened", spark, folder)
+    largest = logistic.largest_lambda(stage("linear", spark, folder)[0], columns)
+    rows = [{"step": i, "lambda": x} for i, x in enumerate(logistic.lambda_path(largest, FITS.logistic))]
+    return records(spark, rows, "step int, lambda double")
+
+
+def bag_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each client is drawn for the first trees of a bag."""
+    draws = F.explode(F.array(*[
+        F.struct(F.lit(b).alias("tree"), forests.poisson_weight(F.col("client_id"), SPARSE.seed, b).alias("weight"))
+        for b in range(3)
+    ]))
+    return label(spark, folder).select("client_id", draws.alias("d")).select("client_id", "d.*")
+
+
+def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialise(scored(spark, folder), "scored")
+    return evaluation.threshold_sweep(rows, [0.3, 0.4, 0.5, 0.6, evaluation.youden_threshold(rows)])
 
 
 def vif(spark: SparkSession, folder: str) -> DataFrame:
@@ -406,7 +433,6 @@ def fitted_queries() -> dict[str, Query]:
         "rf_fit": rf_fit,
         "rf_oob": rf_oob,
         "rf_predict": forest_scores,
-        "corr_screen": corr_screen,
         "vif": vif,
         "lasso_path": lasso_path,
         "lasso_select": lambda s, d: records(
