@@ -73,6 +73,7 @@ class LogisticParams:
     lambdas: int = 20
     lambda_ratio: float = 1e-3
     forced_drops: tuple[str, ...] = ("weekend_sales", "total_amount", "mean_ticket")
+    drop_by_vif: bool = False
     use_context: bool = False
     max_iter: int = 100
 

@@ -232,7 +232,10 @@ def linear_columns(data: TrainingData, settings: Settings) -> tuple[DataFrame, d
 
 
 def select_variables(data: TrainingData, settings: Settings, linear: tuple | None = None) -> Selection:
-    """Screens, LASSO and forced drops; `linear` is the result of `linear_columns` if it is at hand."""
+    """Screens, LASSO, and the last drops: the fixed list, or the most inflated variable until none is over the limit.
+
+    `linear` is the result of `linear_columns` if it is at hand.
+    """
     params = settings.logistic
     train, levels, columns = linear or linear_columns(data, settings)
     screened, pairs = screening.screen(train, columns, params.correlation_limit)
@@ -243,9 +246,13 @@ def select_variables(data: TrainingData, settings: Settings, linear: tuple | Non
     path = logistic.lasso_path(vectors, lambdas, data.study.folds, params, LABEL)
     chosen, selected = logistic.lasso_select(vectors, screened, path, params, LABEL)
     names = [r["variable"] for r in selected]
-    final = [c for c in names if c not in params.forced_drops] or names
+    final = names if params.drop_by_vif else [c for c in names if c not in params.forced_drops] or names
+    final_vif = _vif_of(train, final)
+    while params.drop_by_vif and final_vif and final_vif[0]["vif"] > params.vif_limit:
+        final = [c for c in final if c != final_vif[0]["variable"]]
+        final_vif = _vif_of(train, final)
     return Selection(
-        train, levels, columns, screened, pairs, screened_vif, path, chosen, selected, final, _vif_of(train, final)
+        train, levels, columns, screened, pairs, screened_vif, path, chosen, selected, final, final_vif
     )
 
 

@@ -305,6 +305,39 @@ SELECT CAST(i AS INTEGER) AS step, round(largest * {ratio}::DOUBLE ** (i / {coun
 FROM top, range({count}) r(i)"""
 
 
+COMPARED = {
+    "mixed": "score", "activity": "round(1 / (1 + activity_change), 4)", "recency": "round(mean_gap / (mean_gap + 200), 4)",
+}
+LEADERS = ["auc", "accuracy", "sensitivity", "specificity"]
+METRIC_COLUMNS = [
+    "accuracy", "error_rate", "kappa", "sensitivity", "specificity", "ppv", "f1_no", "f1_yes", "balanced_accuracy",
+]
+
+
+def comparison_ctes() -> str:
+    """Metrics of the three untrained scores, with AUC as the share of rightly ordered pairs."""
+    long = " UNION ALL ".join(
+        f"SELECT {i} AS place, '{n}' AS model, churned, {e} AS score FROM t" for i, (n, e) in enumerate(COMPARED.items()))
+    cells = ", ".join(
+        f"count(*) FILTER ({test} AND churned = {c}) AS {name}" for name, test, c in
+        (("tp", "score > threshold", 1), ("fp", "score > threshold", 0), ("fn", "NOT score > threshold", 1),
+         ("tn", "NOT score > threshold", 0)))
+    return f"""{all_ctes(SPARSE)}, t AS MATERIALIZED (SELECT client_id, churned, score, activity_change, mean_gap FROM scored),
+three AS MATERIALIZED ({long}),
+areas AS (SELECT a.model, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS auc
+  FROM three a JOIN three b ON a.model = b.model AND a.churned = 1 AND b.churned = 0 GROUP BY a.model),
+points AS (SELECT score, count(*) FILTER (churned = 1) AS pos, count(*) FILTER (churned = 0) AS neg
+  FROM three WHERE model = 'recency' GROUP BY score),
+cuts AS (SELECT (score + lead(score) OVER (ORDER BY score DESC)) / 2 AS threshold,
+    sum(pos) OVER (ORDER BY score DESC) * sum(neg) OVER () - sum(neg) OVER (ORDER BY score DESC) * sum(pos) OVER () AS gain
+  FROM points),
+best AS (SELECT COALESCE(threshold, '-infinity'::DOUBLE) AS t FROM cuts ORDER BY gain DESC, threshold NULLS FIRST LIMIT 1),
+cut AS (SELECT *, CASE WHEN model = 'recency' THEN (SELECT t FROM best) ELSE 0.5::DOUBLE END AS threshold FROM three),
+c AS (SELECT place, model, threshold, {cells} FROM cut GROUP BY place, model, threshold),
+{rates_select('c')},
+compared AS (SELECT r.*, auc FROM rates r JOIN areas USING (model))"""
+
+
 def bag_sql() -> str:
     bounds, below, k_factorial = [], 0.0, 1
     for k in range(6):
@@ -459,6 +492,10 @@ SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos)::DOUBLE * sum(neg)), 6)
         "youden": f"""WITH {roc_ctes(SPARSE)} SELECT round(COALESCE(threshold, '-infinity'::DOUBLE), 6) AS threshold, round(tp / positives, 6) AS sensitivity,
 round(1 - fp / negatives, 6) AS specificity, round(tp / positives - fp / negatives, 6) AS youden
 FROM roc ORDER BY tp::HUGEINT * negatives - fp::HUGEINT * positives DESC, roc.threshold NULLS FIRST LIMIT 1""",
+        "score_comparison": f"WITH {comparison_ctes()} SELECT CAST(place AS INTEGER) AS place, model, tp, fp, fn, tn, " + ", ".join(near(c) + f" AS {c}" for c in [*METRIC_COLUMNS, "auc", "threshold"]) + " FROM compared",
+        "score_leaderboard": f"WITH {comparison_ctes()} SELECT model, " + ", ".join(near(c) + f" AS {c}" for c in LEADERS) + " FROM compared",
+        "score_metrics_long": f"WITH {comparison_ctes()} " + " UNION ALL ".join(f"SELECT model, '{c}' AS metric, {near(c)} AS value FROM compared" for c in LEADERS),
+        "best_score": f"WITH {comparison_ctes()} SELECT model, " + ", ".join(near(c) + f" AS {c}" for c in LEADERS) + ", 'Usar ' || model || ' para producción' AS recommendation FROM compared ORDER BY compared.auc DESC, place LIMIT 1",
         "client_month": f"WITH {month_ctes(SPARSE)} SELECT client_id, CAST(month AS VARCHAR) AS month, month_sales, {near('month_volume', 4)} AS month_volume FROM months",
         "monthly_client": f"WITH {month_ctes(SPARSE)} SELECT client_id, active_months, total_sales, {near('total_volume', 4)} AS total_volume, {near('mean_month_sales', 6)} AS mean_month_sales, {near('mean_month_volume', 4)} AS mean_month_volume FROM clients",
         "monthly_global": f"WITH {month_ctes(SPARSE)} SELECT {near('avg(mean_month_sales)', 6)} AS mean_sales, {near('avg(mean_month_volume)', 4)} AS mean_volume FROM clients",

@@ -84,13 +84,18 @@ def many_accounts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def written_label(spark: SparkSession, folder: str, study: Study = SPARSE) -> DataFrame:
+    """The label as a table, for operators that read their input more than once."""
+    return materialise(label(spark, folder, study), "label")
+
+
 def split(spark: SparkSession, folder: str, study: Study = SPARSE) -> DataFrame:
-    return sampling.stratified_split(label(spark, folder, study), study.seed, study.train_percent)
+    return sampling.stratified_split(written_label(spark, folder, study), study.seed, study.train_percent)
 
 
 def balanced(spark: SparkSession, folder: str, study: Study = SPARSE) -> DataFrame:
     train = split(spark, folder, study).filter("in_train").drop("in_train")
-    return sampling.oversample(train, study.seed)
+    return sampling.oversample(materialise(train, "train"), study.seed)
 
 
 def class_balance(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,6 +158,22 @@ def impute_median(spark: SparkSession, folder: str) -> DataFrame:
     return imputing.fill_medians(raw, imputing.fit_medians(raw, imputing.TWO_EVENT_COLUMNS))
 
 
+def score_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """Three scores that need no training, compared as models are: two by one threshold, one by its best."""
+    table = materialise(plan.deterministic_score(feature_table(spark, folder)), "scored")
+    scores = {
+        "mixed": F.col("score"),
+        "activity": F.round(1 / (1 + F.col("activity_change")), 4),
+        "recency": F.round(F.col("mean_gap") / (F.col("mean_gap") + 200), 4),
+    }
+    configurations = []
+    for name, score in scores.items():
+        rows = table.select("churned", score.alias("score"))
+        cut = evaluation.youden_threshold(rows) if name == "recency" else 0.5
+        configurations.append((name, rows, cut, evaluation.auc(rows).first()["auc"]))
+    return comparison.model_metrics(configurations)
+
+
 def sql_queries() -> dict[str, Query]:
     """Queries that SQL can check."""
     windows = history.window_columns(SPARSE.windows)
@@ -222,8 +243,8 @@ def sql_queries() -> dict[str, Query]:
         "stratified_split_dense": lambda s, d: split(s, d, DENSE),
         "oversample": lambda s, d: balanced(s, d),
         "oversample_dense": lambda s, d: balanced(s, d, DENSE),
-        "balance_weights": lambda s, d: sampling.balance_weights(label(s, d)),
-        "kfold": lambda s, d: sampling.stratified_folds(label(s, d), SPARSE.seed, SPARSE.folds),
+        "balance_weights": lambda s, d: sampling.balance_weights(written_label(s, d)),
+        "kfold": lambda s, d: sampling.stratified_folds(written_label(s, d), SPARSE.seed, SPARSE.folds),
         "encoded_features": encoded,
         "deterministic_score": lambda s, d: scored(s, d),
         "confusion": lambda s, d: evaluation.confusion(scored(s, d)),
@@ -232,6 +253,10 @@ def sql_queries() -> dict[str, Query]:
         "roc_curve": lambda s, d: evaluation.roc_curve(scored(s, d)),
         "auc": lambda s, d: evaluation.auc(scored(s, d)),
         "youden": lambda s, d: evaluation.youden(evaluation.roc_curve(scored(s, d))),
+        "score_comparison": score_comparison,
+        "score_leaderboard": lambda s, d: comparison.leaderboard(score_comparison(s, d)),
+        "score_metrics_long": lambda s, d: comparison.metrics_long(score_comparison(s, d)),
+        "best_score": lambda s, d: comparison.best_model(score_comparison(s, d)),
         "client_month": lambda s, d: tidy(all_months(s, d), 4),
         "monthly_client": lambda s, d: _money(monthly.monthly_client(all_months(s, d))),
         "monthly_global": lambda s, d: _money(monthly.monthly_global(monthly.monthly_client(all_months(s, d)))),

@@ -190,3 +190,18 @@ def test_feature_plan_reads_sales_once_and_shuffles_twice(spark, small):
     text = history.client_features(sales, SPARSE)._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1
     assert text.count("Exchange") == 2
+
+
+def test_hot_client_shrinks_to_its_days(spark, make_sales):
+    """A client with a third of all sales reaches the second shuffle as days times products rows."""
+    hot = [(1, -(i % 40), ("mpos", "qr")[i % 2], "APPROVED", float(i % 11)) for i in range(3000)]
+    rest = [(2 + i % 500, -(i % 59), "mpos", "APPROVED", 1.0) for i in range(6000)]
+    sales = make_sales(hot + rest)
+    assert history.client_days(sales).filter("client_id = 1").count() == 40
+    got = rows_by_client(history.client_features(sales, STUDY))[1]
+    amounts = [r[4] for r in hot]
+    assert got["sales"] == 3000 and got["products"] == 2
+    assert got["total_amount"] == pytest.approx(sum(amounts))
+    assert got["ticket_deviation"] == pytest.approx(statistics.stdev(amounts))
+    days = sorted(r[1] for r in hot)
+    assert got["gap_deviation"] == pytest.approx(statistics.stdev([b - a for a, b in zip(days, days[1:])]))

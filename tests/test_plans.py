@@ -71,6 +71,14 @@ def test_context_reaches_the_linear_model_on_request(data):
     assert not none and not any("province" in c or c == "sector" for c in plain)
 
 
+def test_inflated_variables_go_one_by_one(data):
+    loose = Settings(study=SPARSE, logistic=LogisticParams(
+        correlation_limit=0.99, lambdas=3, lambda_ratio=1e-5, max_iter=20, drop_by_vif=True))
+    selection = training.select_variables(data, loose)
+    assert len(selection.final) < len(selection.selected)
+    assert all(r["vif"] <= 5 for r in selection.final_vif) and len(selection.final_vif) == len(selection.final)
+
+
 def test_whole_grid():
     assert len(forest_grid(33)) == 324 and {p.mtry for p in forest_grid(33)} == {4, 6, 8}
 
