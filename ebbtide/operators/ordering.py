@@ -119,7 +119,7 @@ def _bucket_offsets(keyed: DataFrame, stratum: str) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, stratum: str, key: str, seed: int, salt: str = "", name: str = "rank") -> DataFrame:
-    """Add each row's exact place (from 1) in hash order within its stratum."""
+    """Add each row's exact place (from 1) in hash order within its stratum. Strata are classes: a few values."""
     keyed = _hashed(df, key, seed, salt)
     offsets = _bucket_offsets(keyed, stratum).select(stratum, "bucket", "before")
     inside = Window.partitionBy(stratum, "bucket").orderBy("hash", key)

@@ -297,7 +297,7 @@ walk AS (SELECT 0::BIGINT AS step, []::VARCHAR[] AS gone, false AS dropped
 screened AS (SELECT name FROM varying WHERE NOT list_contains((SELECT gone FROM walk ORDER BY step DESC LIMIT 1), name))"""
 
 
-def lambdas_sql(count: int = 8, ratio: float = 1e-3) -> str:
+def lambdas_sql(count: int = 6, ratio: float = 1e-3) -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS name, abs(corr({c}, churned)) AS c FROM b" for c in LINEAR)
     return f"""WITH {screen_ctes()},
 top AS (SELECT max(c) * (SELECT stddev_pop(churned) FROM b) AS largest FROM ({parts}) WHERE name IN (SELECT name FROM screened))

@@ -275,7 +275,7 @@ def sql_queries() -> dict[str, Query]:
 FITS = Settings(
     study=SPARSE,
     forests=(ForestParams(4, 20, max_depth=6), ForestParams(6, 20, max_depth=6)),
-    logistic=LogisticParams(lambdas=8, max_iter=50),
+    logistic=LogisticParams(lambdas=6, max_iter=40),
 )
 _stages: dict[tuple[str, str, str], object] = {}
 
