@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.tables import ship, table
+
 #: Fixed value: how byte-level BPE vocabularies cut a text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each cache of a worker, and the longest piece (in bytes) that is cached.
@@ -175,6 +177,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     repeated rows their own rows, other columns are not read. The vocabulary file is opened where the tasks run.
     """
     path = path or default_vocabulary()
+    ship(docs.sparkSession)
     picked = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +212,6 @@ def fitting_chars(budget: int, ends: str = "piece_ends", counts: str = "token_co
 
 
 def op10_token_counts(spark, folder: str) -> DataFrame:
-    from ebbtide.llm.tables import table
-
     counted = prefix_counts(table(spark, folder, "documents"))
     n = token_count()
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 1024).alias("over_limit"),

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import exact_blocks, mixing, prefix_tokens
+from ebbtide.llm import bm25_index, dart_minhash, exact_blocks, language_tree, mixing, prefix_tokens
+from ebbtide.llm import quality_neighbours, relative_parse, subword_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_duplicates": dart_minhash.op1_near_duplicates,
+        "op2_relative_parse": relative_parse.op2_relative_parse,
+        "op3_quality": quality_neighbours.op3_quality,
+        "op4_decontamination": bm25_index.op4_decontamination,
         "op5_mixing": mixing.op5_mixing,
+        "op6_toxicity": subword_toxicity.op6_toxicity,
+        "op8_language": language_tree.op8_language,
         "op9_exact_dedup": exact_blocks.op9_exact_dedup,
         "op10_token_counts": prefix_tokens.op10_token_counts,
     }
@@ -21,6 +28,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_duplicates": dart_minhash.OP1_SQL,
+        "op2_relative_parse": relative_parse.OP2_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op9_exact_dedup": exact_blocks.OP9_SQL,
     }
