@@ -36,7 +36,8 @@ def water_fill(sources: DataFrame, share: float, most: int) -> DataFrame:
     leaves goes to the others by weight until none is above. One row per source.
 
     All targets are min(most * size, level * weight). Taking sources by size per weight, the level that holds when the
-    first k are full is known from running sums; the right k is the first for which the next source is not full.
+    first k are full is known from running sums. It grows with k while the next source is full too, and falls after that:
+    of the levels that leave the next source unfilled the largest is the right one.
     """
     cap = (F.col("source_size") * most).cast("double")
     budget = F.sum("source_size").over(Window.partitionBy("one")) * F.lit(share)
@@ -49,7 +50,7 @@ def water_fill(sources: DataFrame, share: float, most: int) -> DataFrame:
         F.coalesce(F.sum("weight").over(ordered), F.lit(0)).alias("full_weight"))
     s = s.withColumn("level", (F.col("budget") - F.col("full")) / (F.col("weights") - F.col("full_weight")))
     holds = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    level = F.min(holds).over(Window.partitionBy("one"))
+    level = F.max(holds).over(Window.partitionBy("one"))
     target = F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("weight")))
     return s.withColumn("target", F.round(target, 6)).drop(
         "one", "cap", "budget", "weights", "full", "full_weight", "level")
@@ -98,28 +99,42 @@ def thresholds(sized: DataFrame, targets: DataFrame, digits: int = DIGITS) -> Da
     return out
 
 
+def mixed(docs: DataFrame, key: str, text: str, source: str, weights, share: float, most: int) -> DataFrame:
+    """All columns of `docs`, and a struct `__mix` (key, source, size, point, source_size, target, taken) beside them."""
+    sized = docs.withColumn("__mix", F.struct(
+        F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
+        point(key).alias("point")))
+    narrow = materialise(sized.select("__mix.source", "__mix.size", "__mix.point"), "sizes")
+    targets = materialise(source_targets(narrow, weights, share, most), "targets")
+    below = thresholds(narrow, targets).select(F.col("source").alias("s"), "below")
+    plan = targets.join(below, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.struct("source", "source_size", "target", "passes", "below").alias("__plan"))
+    joined = sized.join(materialise(plan, "plan"), F.col("__mix.source").eqNullSafe(F.col("__plan.source")), "left")
+    copies = F.col("__plan.passes") + F.when(F.col("__mix.point") < F.col("__plan.below"), 1).otherwise(0)
+    return joined.withColumn("__mix", F.struct(
+        "__mix.*", "__plan.source_size", "__plan.target", (copies * F.col("__mix.size")).alias("taken"))).drop("__plan")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        share: float = SHARE, most: int = MOST_COPIES, carry: list[str] | None = None) -> DataFrame:
+        share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """`key`, `size`, `source_size`, `target` and `taken` (words taken, repeats counted) for each input row.
 
     NULL texts have size 0; NULL is a source of its own; rows with the same key are taken together; an empty table gives
     no rows. The size of a source differs from its target by at most half of the documents at one point.
     """
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
-                        point(key).alias("point"), *(carry or []))
-    narrow = materialise(sized.select("source", "size", "point"), "sizes") if carry else None
-    sized = sized if carry else materialise(sized, "sizes")
-    narrow = narrow if carry else sized
-    targets = materialise(source_targets(narrow, weights, share, most), "targets")
-    below = thresholds(narrow, targets).select(F.col("source").alias("s"), "below")
-    plan = targets.join(below, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("s"), "source_size", "target", "passes", "below")
-    plan = materialise(plan, "plan")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.col("passes") + F.when(F.col("point") < F.col("below"), 1).otherwise(0)
-    return joined.select(
-        F.col("key").alias(key), "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
-        *(carry or []))
+    done = mixed(docs.select(key, text, source), key, text, source, weights, share, most)
+    return done.select(F.col("__mix.key").alias(key), "__mix.size", "__mix.source_size", "__mix.target", "__mix.taken")
+
+
+def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+                  share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
+    """The documents of the mix with all their columns, and `mix_size`, `mix_target`, `mix_taken`.
+
+    A document that is taken more than once has one row, whose `mix_taken` is a multiple of its `mix_size`.
+    """
+    done = mixed(docs, key, text, source, weights, share, most).where("__mix.taken > 0")
+    told = [F.col(f"__mix.{c}").alias(f"mix_{c}") for c in ("size", "target", "taken")]
+    return done.select(*(F.col(f"`{c}`") for c in docs.columns), *told)
 
 
 def op5_mixing(spark, folder: str) -> DataFrame:
@@ -143,7 +158,7 @@ f AS (
 l AS (
   SELECT *, CAST(budget - filled AS DOUBLE) / CAST(weights - filled_weight AS DOUBLE) AS lv FROM f),
 m AS (
-  SELECT *, min(CASE WHEN lv * weight <= cap THEN lv END) OVER () AS water FROM l),
+  SELECT *, max(CASE WHEN lv * weight <= cap THEN lv END) OVER () AS water FROM l),
 t AS (
   SELECT source, source_size, round(CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END, 6) AS target
   FROM m),
