@@ -197,9 +197,9 @@ def as_text(key: str) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that hold no test item, with all their columns; rows with the same key share their hits."""
-    hits = leaked_items(docs, items, key, **options).select(as_text(key).alias("hit_key")).distinct()
-    return docs.withColumn("hit_key", as_text(key)).join(materialise(hits, "leaked"), "hit_key", "left_anti").drop(
-        "hit_key")
+    hits = leaked_items(docs, items, key, **options).select(as_text(key).alias("__key")).distinct()
+    left = docs.withColumn("__key", as_text(key)).join(materialise(hits, "leaked"), "__key", "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_decontamination(spark, folder: str) -> DataFrame:

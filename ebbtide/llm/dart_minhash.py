@@ -164,8 +164,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """`key`, `class_id` and `class_size` for each input row.
+                    bands: int = BANDS, rows: int = ROWS, with_sha: bool = False) -> DataFrame:
+    """`key`, `class_id` and `class_size` for each input row (and the SHA-256 of its text, if wanted).
 
     The class of a row is its connected component of pairs with a weighted Jaccard similarity of word 5-shingles of
     `similarity` or more, and of equal texts; `class_id` is the smallest key in it (NULL only if no row has one). A text
@@ -217,13 +217,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     named = materialise(rooted.join(materialise(classes, "sizes"), "root").select("sha", "class_id", "class_size"),
                         "named")
-    return marked.select("key", "sha").join(named, "sha").select(F.col("key").alias(key), "class_id", "class_size")
+    out = marked.select("key", "sha").join(named, "sha")
+    return out.select(F.col("key").alias(key), "class_id", "class_size", *(["sha"] if with_sha else []))
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each class the row with the smallest key, with all columns; a row without a key always stays."""
-    marks = near_duplicates(docs, key, text).where(F.col(key) > F.col("class_id")).select(key).distinct()
-    return docs.join(materialise(marks, "dropped"), key, "left_anti")
+    """Of each class the row with the smallest key, with all columns; a row without a key always stays.
+
+    Rows that share the smallest key of their class all stay; exact deduplication comes before this.
+    """
+    as_text = F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("__key")
+    marks = near_duplicates(docs, key, text, with_sha=True).where(F.col(key) > F.col("class_id"))
+    marks = materialise(marks.select(as_text, F.col("sha").alias("__sha")).distinct(), "dropped")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    left = docs.withColumn("__key", as_text).withColumn("__sha", sha).join(marks, ["__key", "__sha"], "left_anti")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_near_duplicates(spark, folder: str) -> DataFrame:

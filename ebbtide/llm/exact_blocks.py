@@ -123,10 +123,10 @@ def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """The rows of `docs` that stay, with all their columns; of rows that agree in key and text too, one stays."""
     rows = materialise(identities(docs, key, text), "identities")
     as_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    marks = grouped(rows, key).where("kept").select(as_text.alias("kept_key"), F.col("row_hash").alias("kept_hash"))
-    kept = docs.withColumn("kept_key", as_text).withColumn("kept_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = kept.join(marks.distinct(), ["kept_key", "kept_hash"], "left_semi")
-    return kept.dropDuplicates(["kept_key", "kept_hash"]).select(*docs.columns)
+    marks = grouped(rows, key).where("kept").select(as_text.alias("__key"), F.col("row_hash").alias("__hash"))
+    kept = docs.withColumn("__key", as_text).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = kept.join(marks.distinct(), ["__key", "__hash"], "left_semi")
+    return kept.dropDuplicates(["__key", "__hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_exact_dedup(spark, folder: str) -> DataFrame:

@@ -29,6 +29,8 @@ FAMILIES = {
 }
 ORDERS, BITS, SCALE = (2, 3), 16, 30.0
 SAMPLE, LONGEST, EPOCHS, DECAY = 800, 1 << 16, 12, 1e-4
+#: Below this probability the pipeline takes a text for none of the learned languages.
+LEAST = 0.3
 
 
 def family_of(language: str) -> str:
@@ -172,6 +174,13 @@ def identify(docs: DataFrame, model: LanguageTree | None, text: str = "text") ->
     return tried.mapInArrow(predict, f"{schema}, lang_pred string, score double").toDF(*columns, "lang_pred", "score")
 
 
+def keep_identified(docs: DataFrame, model: LanguageTree | None, least: float = LEAST, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns, whose language is told: not `und`, and not less sure than `least`."""
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    found = identify(docs.toDF(*columns), model, columns[docs.columns.index(text)])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*columns).toDF(*docs.columns)
+
+
 def op8_language(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = identify(docs.select("doc_id", "text"), learn(docs))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.llm import bm25_index, dart_minhash, exact_blocks, language_tree, mixing, prefix_tokens
+from ebbtide.llm import bm25_index, dart_minhash, exact_blocks, language_tree, license_paragraphs, mixing, prefix_tokens
 from ebbtide.llm import quality_neighbours, relative_parse, subword_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": bm25_index.op4_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_toxicity": subword_toxicity.op6_toxicity,
+        "op7_licenses": license_paragraphs.op7_licenses,
         "op8_language": language_tree.op8_language,
         "op9_exact_dedup": exact_blocks.op9_exact_dedup,
         "op10_token_counts": prefix_tokens.op10_token_counts,
