@@ -173,11 +173,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     near = rows.join(listed, "row").select("row", "key", "text", "blocks")
     windows = materialise(window_rows(near, window), "windows")
     twice = windows.groupBy("hash").count().where("count > 1").select("hash")
-    inside = windows.where("alone").join(twice, "hash").select("row", "first", F.lit(1).alias("n"))
-
-    whole = found.where("not differ").select("row", "first", "n").unionByName(
-        found.where("differ").join(differing.where("times > 1").select("anchor", "block"), ["anchor", "block"])
-        .select("row", "first", "n"))
+    inside = windows.where("alone").join(materialise(twice, "twice"), "hash")
+    inside = materialise(inside.select("row", "first", F.lit(1).alias("n")), "inside")
+    again = found.where("differ").join(differing.where("times > 1").select("anchor", "block"), ["anchor", "block"])
+    again = materialise(again.select("row", "first", "n"), "again")
+    whole = found.where("not differ").select("row", "first", "n").unionByName(again)
     spans = whole.unionByName(inside).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     out = rows.join(materialise(spans, "spans"), "row", "left").select("row", "key", "text", "spans")
     return kept_words(out, window).withColumnRenamed("key", key)
