@@ -5,12 +5,10 @@ A word is a run of bytes outside 0x20 and 0x09-0x0D, which in UTF-8 is the same
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, SLICE_ROWS = 1 << 21, 4096
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -46,12 +44,14 @@ def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive rows of about `most` bytes together (one long text may exceed it): first, last, bytes, offsets."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """Consecutive rows, `rows` of them and `most` bytes together at most (one long text may exceed it): first, last,
+    bytes, offsets."""
     data, offsets = raw_texts(column)
     first = 0
     while first < len(offsets) - 1:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
+        last = min(last, first + rows)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
