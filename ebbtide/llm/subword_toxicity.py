@@ -2,7 +2,7 @@
 
 Words are lower-cased and cut into n-grams of three to five bytes with their word boundary, hashed into a table of
 embeddings, so a misspelt word shares most vectors with the word it comes from. A text is read in windows of a few words
-(all of them, whatever its length); the vectors of its different n-grams are averaged (a short or repetitive window is
+(all of them, whatever its length); the n-gram vectors of its different words are averaged (a short or repetitive window is
 filled up with zeros) and go into the softmax, and the most toxic window gives the score, so that a long clean text does
 not hide a toxic sentence. In training each document teaches with its most toxic window, after some rounds over the
 average of all of it.
@@ -18,38 +18,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.bm25_index import plain
-from ebbtide.llm.grams import gram_index, inside_rows, owners, packed
+from ebbtide.llm.grams import gram_index, inside_rows, packed
 from ebbtide.llm.quality_neighbours import score_texts
 from ebbtide.llm.tables import held_out, sample_by_label, table
+from ebbtide.llm.text import mix, words
 
 ORDERS, BITS, DIMENSIONS, WORDS, LEAST = (3, 4, 5), 18, 8, 16, 120
 SAMPLE, LONGEST, EPOCHS, WHOLE_EPOCHS, RATE, GAIN = 1200, 1 << 15, 12, 4, 0.4, 12.0
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different n-grams of each window, by window: n-gram, window, and the n+1 first windows of the rows."""
+    """N-grams of the different words of each window: n-gram, window, and the n+1 first windows of the rows.
+
+    A row has one window at least.
+    """
     letters = plain(data)
-    space = letters == 32
-    start = ~space
-    start[1:] &= space[:-1]
-    start[offsets[:-1][offsets[:-1] < len(letters)]] |= ~space[offsets[:-1][offsets[:-1] < len(letters)]]
-    upto = np.concatenate([[0], np.cumsum(start)])
-    spaces = np.concatenate([[0], np.cumsum(space)])
-    n_words = upto[offsets[1:]] - upto[offsets[:-1]]
-    n_windows = np.maximum(1, -(-n_words // WORDS))
-    base = np.concatenate([[0], np.cumsum(n_windows)])
-    row = owners(offsets)
-    window = base[row] + np.maximum(upto[1:] - 1 - upto[offsets[:-1]][row], 0) // WORDS if len(row) else row
+    hashes, starts, _, at = words(letters, offsets)
+    n_words = np.diff(at)
+    base = np.concatenate([[0], np.cumsum(np.maximum(1, -(-n_words // WORDS)))])
+    row = np.repeat(np.arange(len(n_words)), n_words)
+    window = base[row] + (np.arange(len(row)) - at[row]) // WORDS
+    new = np.zeros(len(row), bool)
+    new[np.unique(hashes + mix(window.astype(np.uint64)), return_index=True)[1]] = True
+    word = np.repeat(np.arange(-1, len(starts)), np.diff(np.concatenate([[0], starts, [len(letters)]])))
+    spaces = np.concatenate([[0], np.cumsum(letters == 32, dtype=np.int32)])
     found, where = [], []
     for order in ORDERS:
         index = gram_index(letters, order, BITS)
         n = len(index)
         inner = spaces[order - 1 : order - 1 + n] - spaces[1 : n + 1] if n else spaces[:0]
-        good = inside_rows(offsets, order, n) & (inner == 0)
-        found.append(index[good])
-        where.append(window[1 : n + 1][good])
-    bag = np.unique((np.concatenate(where) << BITS) + np.concatenate(found))
-    return bag & ((1 << BITS) - 1), bag >> BITS, base
+        good = np.flatnonzero(inside_rows(offsets, order, n) & (inner == 0))
+        owner = word[good + 1]
+        keep = new[owner] if len(new) else np.zeros(0, bool)
+        found.append(index[good[keep]])
+        where.append(window[owner[keep]])
+    return np.concatenate(found), np.concatenate(where), base
 
 
 class SubwordSoftmax:
@@ -63,7 +66,8 @@ class SubwordSoftmax:
         bags = []
         for text in texts:
             grams, window, base = subwords(*packed([text]))
-            bags.append((grams.astype(np.int32), np.bincount(window, minlength=base[-1])))
+            order = np.argsort(window, kind="stable")
+            bags.append((grams[order].astype(np.int32), np.bincount(window, minlength=base[-1])))
         share = np.mean(labels) if len(labels) else 0.5
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS) + 0.02
