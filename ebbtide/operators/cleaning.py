@@ -25,7 +25,7 @@ def clean_sales(sales: DataFrame, since: dt.date | None = None, until: dt.date |
         F.to_date("sold_at").alias("sale_date"),
         F.coalesce("product", F.lit(DEFAULT_PRODUCT)).alias("product"),
         "status",
-        F.col("amount").cast("double").alias("amount"),
+        F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double")).alias("amount"),  # NaN is no amount
     )
 
 
@@ -48,12 +48,6 @@ def look_back(sales: DataFrame, cut: dt.date, days: int) -> DataFrame:
     return sales.filter((F.col("sale_date") > F.lit(cut - dt.timedelta(days=days))) & (F.col("sale_date") <= F.lit(cut)))
 
 
-def look_ahead(sales: DataFrame, cut: dt.date, days: int | None = None) -> DataFrame:
-    """Days after `cut`, the first `days` of them if given."""
-    later = sales.filter(F.col("sale_date") > F.lit(cut))
-    return later if days is None else later.filter(F.col("sale_date") <= F.lit(cut + dt.timedelta(days=days)))
-
-
 def derive_sales(sales: DataFrame) -> DataFrame:
     return sales.withColumns({
         "weekday": weekday_number(F.col("sale_date")),

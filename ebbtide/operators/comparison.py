@@ -17,11 +17,11 @@ LEADER_COLUMNS = ["auc", "accuracy", "sensitivity", "specificity"]
 
 
 def model_metrics(configurations: list[tuple[str, DataFrame, float, float]]) -> DataFrame:
-    """One row per (name, scored test rows, threshold, AUC)."""
+    """One row per (name, scored test rows, threshold, AUC); an AUC that is not defined is NULL."""
     rows = [
         classifier_metrics(scored, threshold).select(
             F.lit(i).alias("place"), F.lit(name).alias("model"), "tp", "fp", "fn", "tn", *METRICS,
-            F.lit(float(area)).alias("auc"), F.lit(float(threshold)).alias("threshold"),
+            F.lit(area).cast("double").alias("auc"), F.lit(float(threshold)).alias("threshold"),
         )
         for i, (name, scored, threshold, area) in enumerate(configurations)
     ]

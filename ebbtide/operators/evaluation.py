@@ -78,9 +78,19 @@ def _running(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_curve(scored: DataFrame, label: str = "churned", score: str = "score") -> DataFrame:
-    """One point per distinct score, cutting half way to the next lower one; NULL threshold: everyone is flagged."""
-    running = _running(scored, label, score)
-    return running.select(
+    """One point per distinct score, cutting half way to the next lower one; NULL threshold: everyone is flagged.
+
+    The first point, with threshold infinity and no score, is where nobody is flagged.
+    """
+    counts = materialise(score_counts(scored, label, score), "scores")
+    running = running_totals(counts, "score", ["pos", "neg"], descending=True)
+    totals = counts.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")).filter("positives is not null")
+    nobody = totals.select(
+        F.lit(None).cast("double").alias("score"), F.lit(float("inf")).alias("threshold"),
+        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
+        F.try_divide(F.lit(0), F.col("positives")).alias("tpr"),
+        F.try_divide(F.lit(0), F.col("negatives")).alias("fpr"), "positives", "negatives")
+    return nobody.unionByName(running.select(
         "score",
         ((F.col("score") + F.col("next_score")) / 2).alias("threshold"),
         F.col("running_pos").alias("tp"),
@@ -89,7 +99,7 @@ def roc_curve(scored: DataFrame, label: str = "churned", score: str = "score") -
         F.try_divide(F.col("running_neg"), F.col("total_neg")).alias("fpr"),
         F.col("total_pos").alias("positives"),
         F.col("total_neg").alias("negatives"),
-    )
+    ))
 
 
 def auc(scored: DataFrame, label: str = "churned", score: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import hash_key
 from ..functions.columns import HASH_BITS
 from ..params import ForestParams
+from .trees import need_bins
 
 
 def forest(label: str = "churned", levels: int = 0, seed: int = 123, max_bins: int = 64) -> RandomForestClassifier:
+    need_bins(max_bins, levels)
     return RandomForestClassifier(
-        featuresCol="features", labelCol=label, bootstrap=True, seed=seed, maxBins=max(max_bins, levels + 1)
+        featuresCol="features", labelCol=label, bootstrap=True, seed=seed, maxBins=max_bins
     )
 
 
@@ -64,9 +67,10 @@ def with_probability(model, prepared: DataFrame, *keep: str) -> DataFrame:
     return scored.select(*keep, vector_to_array("probability")[1].alias("probability"))
 
 
-def poisson_weight(key: Column, seed: int, tree: int, most: int = 6) -> Column:
+def poisson_weight(key: Column, seed: int, tree: int, most: int = 20) -> Column:
     """Times a row is drawn for one tree: a Poisson(1) draw from the hash of its client.
 
+    Twenty draws or more have a probability below the resolution of the hash.
     Copies of a client share the draw, so a row is never out of a bag that holds its twin.
     """
     u = hash_key(key, seed, f":bag{tree}") / F.lit(float(2**HASH_BITS))
@@ -82,21 +86,27 @@ def poisson_weight(key: Column, seed: int, tree: int, most: int = 6) -> Column:
 
 def out_of_bag(
     prepared: DataFrame, params: ForestParams, trees: int = 10, label: str = "churned", key: str = "client_id",
-    levels: int = 0, seed: int = 123,
+    levels: int = 0, seed: int = 123, max_bins: int = 64, parallelism: int = 4,
 ) -> DataFrame:
     """Out-of-bag confusion and error: each row is voted on by the trees that did not draw it.
 
     The votes of a row are columns of that row, so nothing is joined or regrouped.
     """
-    votes = prepared
-    for b in range(trees):
+    need_bins(max_bins, levels)
+
+    def one_tree(b: int):
         weighted = prepared.withColumn("bag_weight", poisson_weight(F.col(key), seed, b)).filter("bag_weight > 0")
-        model = RandomForestClassifier(
+        return RandomForestClassifier(
             featuresCol="features", labelCol=label, weightCol="bag_weight", numTrees=1, bootstrap=False,
             featureSubsetStrategy=str(params.mtry), minInstancesPerNode=params.min_node, maxDepth=params.max_depth,
-            maxBins=max(64, levels + 1), seed=seed + b, predictionCol=f"vote_{b}", rawPredictionCol=f"raw_{b}",
+            maxBins=max_bins, seed=seed + b, predictionCol=f"vote_{b}", rawPredictionCol=f"raw_{b}",
             probabilityCol=f"probability_{b}",
         ).fit(weighted)
+
+    with ThreadPoolExecutor(parallelism) as pool:  # the trees' jobs run side by side
+        models = list(pool.map(one_tree, range(trees)))
+    votes = prepared
+    for b, model in enumerate(models):
         outside = poisson_weight(F.col(key), seed, b) == 0
         votes = model.transform(votes).drop(f"raw_{b}", f"probability_{b}")
         votes = votes.withColumn(f"vote_{b}", F.when(outside, F.col(f"vote_{b}")))

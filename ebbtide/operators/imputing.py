@@ -37,18 +37,20 @@ def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ("client_id", "churne
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in skip]
 
 
-def fit_medians(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> dict[str, float]:
-    """Median of each given numeric column that lacks a value somewhere; others need none."""
+def fit_medians(
+    df: DataFrame, columns: list[str] | None = None, approx: bool = False, every: bool = False
+) -> dict[str, float]:
+    """Median of each given numeric column that lacks a value somewhere; of all of them with `every`."""
     columns = columns or numeric_columns(df)
     missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
-    wanted = [c for c in columns if missing[c] > 0]
+    wanted = [c for c in columns if every or missing[c] > 0]
     if not wanted:
         return {}
     if approx:
         row = df.agg(*[F.approx_percentile(F.col(c), 0.5, 10000).alias(c) for c in wanted]).first().asDict()
         return {c: float(v) for c, v in row.items() if v is not None}
     rows = exact_quantiles(df, wanted, [0.5]).collect()  # one number per column
-    return {r["column"]: r["value"] for r in rows}
+    return {r["column"]: float(r["value"]) for r in rows if r["value"] is not None}
 
 
 def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:

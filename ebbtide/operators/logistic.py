@@ -81,6 +81,8 @@ def lasso_select(
         ]
         if kept:
             break
+    else:
+        raise ValueError("no penalty of the path lets a variable in")
     return value, sorted(kept, key=lambda r: (-abs(r["coefficient"]), r["variable"]))
 
 

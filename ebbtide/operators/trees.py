@@ -95,15 +95,24 @@ class Tree:
         return chain
 
 
+def need_bins(max_bins: int, levels: int) -> None:
+    """The number of bins is the caller's choice: it sets the thresholds of every numeric column."""
+    if levels > max_bins:
+        raise ValueError(f"max_bins is {max_bins}, but a category column has {levels} levels; raise max_bins")
+
+
 def fit_tree(
-    prepared: DataFrame, params: TreeParams, rows: int, levels: int = 0, label: str = "churned",
-    entropy: bool = False, seed: int = 123, max_bins: int | None = None,
+    prepared: DataFrame, params: TreeParams, levels: int = 0, label: str = "churned", entropy: bool = False,
+    seed: int = 123,
 ):
-    """Grow the large tree on vectors `features`; `levels` is the largest number of category levels."""
+    """Grow the large tree on vectors `features`; `levels` is the largest number of category levels.
+
+    The smallest leaf is `min_bucket` whatever the number of rows; depth 30 and `min_bucket` bound the node table.
+    """
+    need_bins(params.max_bins, levels)
     options = dict(
         featuresCol="features", labelCol=label, leafCol=LEAF, maxDepth=params.max_depth,
-        maxBins=max(max_bins or params.max_bins, levels + 1),
-        minInstancesPerNode=max(params.min_bucket, math.ceil(params.cp * rows / 2)), seed=seed,
+        maxBins=params.max_bins, minInstancesPerNode=params.min_bucket, seed=seed,
     )
     if entropy:
         return DecisionTreeClassifier(impurity="entropy", **options).fit(prepared)
@@ -229,7 +238,7 @@ def fold_errors(tree: Tree, leaf_counts: list[tuple[int, int, int]], cps: list[f
 
 
 def cross_validate(
-    spark: SparkSession, prepared: DataFrame, cps: list[float], folds: int, params: TreeParams, rows: int,
+    spark: SparkSession, prepared: DataFrame, cps: list[float], folds: int, params: TreeParams,
     levels: int = 0, label: str = "churned", seed: int = 123, parallelism: int = 5,
 ) -> list[dict]:
     """Mean and deviation of the error per complexity: one fit per fold serves all complexities.
@@ -239,7 +248,7 @@ def cross_validate(
 
     def one_fold(k: int) -> list[float]:
         model = fit_tree(
-            prepared.filter(F.col("fold") != k), params, round(rows * (folds - 1) / folds), levels, label, seed=seed
+            prepared.filter(F.col("fold") != k), params, levels, label, seed=seed
         )
         tree = weakest_links(node_table(spark, model), 0.0)
         counts = (

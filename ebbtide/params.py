@@ -43,11 +43,11 @@ class ForestParams:
     trees: int = 100
     sample_rate: float = 1.0
     min_node: int = 1
-    max_depth: int = 12
+    max_depth: int = 30
 
 
-# Leaves allowed per tree -> depth that holds about as many; None is no limit.
-LEAF_LIMIT_DEPTH = {None: 12, 50: 6, 100: 7}
+# Leaves allowed per tree -> depth that holds about as many; None is no limit (30 is the deepest that Spark grows).
+LEAF_LIMIT_DEPTH = {None: 30, 50: 6, 100: 7}
 
 
 def forest_grid(

@@ -62,7 +62,7 @@ def training_features(
     sales = clean_sales(raw_sales, until=study.last_look_ahead())
     filled = fill_rules(raw_features(sales, clean_accounts(raw_accounts), study, dedup=dedup), study)
     filled = materialise(filled, "features")
-    medians = fit_medians(filled)
+    medians = fit_medians(filled, every=True)  # also of columns that are complete here: today's cohort may lack them
     return fill_medians(filled, medians), medians
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import monthly, reports, trees, value
 from ..operators.cleaning import clean_sales
 from ..params import Settings, Study
-from ..session import materialise
 from ..sources.sinks import load_bundle, write_scored
 from .features import scoring_features
 
@@ -47,11 +46,16 @@ def score_and_value(
     settings: Settings,
     bundle: str,
     target: str,
-    medians: dict[str, float] | None = None,
+    refit_medians: bool = False,
 ) -> dict[str, DataFrame]:
-    """Score with a saved bundle, write the clients with their expected loss, and report on the written table."""
+    """Score with a saved bundle, write the clients with their expected loss, and report on the written table.
+
+    Missing values get the training medians of the bundle; `refit_medians` takes those of today's cohort.
+    """
     model, _ = load_bundle(spark, bundle)
     leaves = spark.read.parquet(f"{bundle}/leaves")
+    saved = {r["column"]: r["value"] for r in spark.read.parquet(f"{bundle}/medians").collect()}  # one per predictor
+    medians = None if refit_medians else saved
     clients = score_clients(raw_sales, raw_accounts, settings.study, model, leaves, medians)
     write_scored(value.expected_loss(clients, settings.value), target)
     written = spark.read.parquet(target)
@@ -61,7 +65,3 @@ def score_and_value(
         "distribution": reports.table_summary(written, ["probability", *value.KPIS], reuse=False),
         "total": value.expected_loss_total(written),
     }
-
-
-def valued_clients(clients: DataFrame, settings: Settings) -> DataFrame:
-    return value.expected_loss(materialise(clients, "scored"), settings.value)

@@ -22,7 +22,7 @@ from ..operators.encoding import (
 )
 from ..operators.cleaning import category_levels
 from ..params import ForestParams, Settings, Study
-from ..session import materialise, new_path
+from ..session import materialise
 from ..sources.sinks import save_bundle, write_metrics
 from .features import predictors, training_features
 
@@ -119,7 +119,7 @@ class TreeResult:
 
 
 def grow_tree(data: TrainingData, inputs: TreeInputs, settings: Settings):
-    model = trees.fit_tree(inputs.train, settings.tree, data.rows, inputs.most_levels, LABEL, seed=data.study.seed)
+    model = trees.fit_tree(inputs.train, settings.tree, inputs.most_levels, LABEL, seed=data.study.seed)
     return model, trees.weakest_links(trees.node_table(data.spark, model), settings.tree.cp)
 
 
@@ -128,7 +128,7 @@ def train_tree(data: TrainingData, inputs: TreeInputs, settings: Settings) -> Tr
     model, tree = grow_tree(data, inputs, settings)
     cps = [r["cp"] for r in tree.path]
     cv = trees.cross_validate(
-        data.spark, inputs.train, cps, data.study.folds, settings.tree, data.rows, inputs.most_levels, LABEL,
+        data.spark, inputs.train, cps, data.study.folds, settings.tree, inputs.most_levels, LABEL,
         data.study.seed,
     )
     cp_cv = min(cv, key=lambda r: r["mean_error"])["cp"]  # the first of equals: the smaller tree
@@ -246,7 +246,9 @@ def select_variables(data: TrainingData, settings: Settings, linear: tuple | Non
     path = logistic.lasso_path(vectors, lambdas, data.study.folds, params, LABEL)
     chosen, selected = logistic.lasso_select(vectors, screened, path, params, LABEL)
     names = [r["variable"] for r in selected]
-    final = names if params.drop_by_vif else [c for c in names if c not in params.forced_drops] or names
+    final = names if params.drop_by_vif else [c for c in names if c not in params.forced_drops]
+    if not final:
+        raise ValueError(f"forced_drops leave none of the selected variables {names}")
     final_vif = _vif_of(train, final)
     while params.drop_by_vif and final_vif and final_vif[0]["vif"] > params.vif_limit:
         final = [c for c in final if c != final_vif[0]["variable"]]
@@ -276,7 +278,7 @@ class Trained:
     forest: ForestResult
     logistic: LogisticResult
     thresholds: dict[str, float]
-    aucs: dict[str, float]
+    aucs: dict[str, float | None]
 
     def metrics(self) -> DataFrame:
         return comparison.model_metrics([
@@ -300,7 +302,7 @@ class Trained:
 
 def evaluate(data: TrainingData, tree: TreeResult, forest: ForestResult, logit: LogisticResult) -> Trained:
     tests = {"tree": tree.test, "forest": forest.test, "logistic": logit.test}
-    aucs = {k: evaluation.auc(t, LABEL).first()["auc"] or 0.5 for k, t in tests.items()}
+    aucs = {k: evaluation.auc(t, LABEL).first()["auc"] for k, t in tests.items()}
     thresholds = {k: evaluation.youden_threshold(tests[k], LABEL) for k in ("forest", "logistic")}
     return Trained(data, tree, forest, logit, thresholds, aucs)
 
@@ -322,7 +324,11 @@ def save_all(trained: Trained, folder: str) -> dict[str, str]:
     save_bundle(
         spark, paths["tree"], "tree", tree.pipeline(), tree.inputs.names, LABEL, levels,
         {"auc": trained.aucs["tree"], "cp": tree.cp}, seed,
-        {"leaves": tree.leaves, "cp_path": spark.createDataFrame(path_rows, "cp double, splits int, rel_error double")},
+        {
+            "leaves": tree.leaves,
+            "medians": spark.createDataFrame(sorted(trained.data.medians.items()), "column string, value double"),
+            "cp_path": spark.createDataFrame(path_rows, "cp double, splits int, rel_error double"),
+        },
         {"split": "gini"},
     )
     save_bundle(
@@ -341,7 +347,3 @@ def save_all(trained: Trained, folder: str) -> dict[str, str]:
     write_metrics(metrics.drop("place"), paths["metrics"])
     comparison.executive_summary(metrics, ["metrics"]).coalesce(1).write.mode("overwrite").parquet(paths["summary"])
     return paths
-
-
-def default_folder(spark: SparkSession) -> str:
-    return new_path(spark, "results")

@@ -214,7 +214,8 @@ roc AS (
   SELECT score, (score + lead(score) OVER (ORDER BY score DESC)) / 2 AS threshold,
     CAST(sum(pos) OVER (ORDER BY score DESC) AS BIGINT) AS tp,
     CAST(sum(neg) OVER (ORDER BY score DESC) AS BIGINT) AS fp,
-    CAST(sum(pos) OVER () AS BIGINT) AS positives, CAST(sum(neg) OVER () AS BIGINT) AS negatives FROM points)"""
+    CAST(sum(pos) OVER () AS BIGINT) AS positives, CAST(sum(neg) OVER () AS BIGINT) AS negatives FROM points
+  UNION ALL SELECT NULL, 'infinity'::DOUBLE, 0, 0, CAST(sum(pos) AS BIGINT), CAST(sum(neg) AS BIGINT) FROM points)"""
 
 
 BEST_CUT = """SELECT COALESCE(threshold, '-infinity'::DOUBLE) AS t FROM roc
@@ -340,14 +341,14 @@ compared AS (SELECT r.*, auc FROM rates r JOIN areas USING (model))"""
 
 def bag_sql() -> str:
     bounds, below, k_factorial = [], 0.0, 1
-    for k in range(6):
+    for k in range(20):
         k_factorial *= max(k, 1)
         below += 0.36787944117144233 / k_factorial
         bounds.append(below)
     cases = " ".join(f"WHEN u < {b!r}::DOUBLE THEN {k}.0" for k, b in enumerate(bounds))
     parts = " UNION ALL ".join(
         f"SELECT client_id, {t} AS tree, {hashed(f':bag{t}')} / {float(2**60)!r}::DOUBLE AS u FROM labels_" for t in range(3))
-    return f"WITH {label_ctes(SPARSE)} SELECT client_id, tree, CAST(CASE {cases} ELSE 6.0 END AS DOUBLE) AS weight FROM ({parts})"
+    return f"WITH {label_ctes(SPARSE)} SELECT client_id, tree, CAST(CASE {cases} ELSE 20.0 END AS DOUBLE) AS weight FROM ({parts})"
 
 
 def histogram_sql() -> str:

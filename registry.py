@@ -323,8 +323,8 @@ def tree_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tree_fit_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    data, inputs = stage("data", spark, folder), stage("vectors", spark, folder)
-    model = trees.fit_tree(inputs.train, FITS.tree, data.rows, inputs.most_levels, entropy=True)
+    inputs = stage("vectors", spark, folder)
+    model = trees.fit_tree(inputs.train, FITS.tree, inputs.most_levels, entropy=True)
     tree = trees.weakest_links(trees.node_table(spark, model), FITS.tree.cp)
     return records(spark, tree.path, "cp double, splits int, leaves int, rel_error double")
 
@@ -361,8 +361,9 @@ def rf_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rf_oob(spark: SparkSession, folder: str) -> DataFrame:
-    inputs = stage("vectors", spark, folder)
-    return forests.out_of_bag(inputs.train, FITS.forests[0], 5, levels=inputs.most_levels)
+    """Of the combination that won, with all of its trees."""
+    inputs, best = stage("vectors", spark, folder), stage("forest", spark, folder).best
+    return forests.out_of_bag(inputs.train, best, best.trees, levels=inputs.most_levels)
 
 
 def forest_scores(spark: SparkSession, folder: str) -> DataFrame:

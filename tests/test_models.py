@@ -40,7 +40,7 @@ def vectors(planted):
 @pytest.fixture(scope="module")
 def grown(spark, vectors):
     params = TreeParams(max_depth=8)
-    model = trees.fit_tree(vectors, params, 1500, 4)
+    model = trees.fit_tree(vectors, params, 4)
     return model, trees.weakest_links(trees.node_table(spark, model), params.cp), params
 
 
@@ -119,7 +119,7 @@ def test_fold_errors_match_predictions(spark, vectors, grown):
 
 def test_cross_validation_finds_signal(spark, vectors, grown):
     _, tree, params = grown
-    cv = trees.cross_validate(spark, vectors, [r["cp"] for r in tree.path], 3, params, 1500, 4)
+    cv = trees.cross_validate(spark, vectors, [r["cp"] for r in tree.path], 3, params, 4)
     assert min(r["mean_error"] for r in cv) < 0.35 and all(r["sd_error"] >= 0 for r in cv)
 
 

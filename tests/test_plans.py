@@ -49,7 +49,7 @@ def test_bundles_and_scoring(spark, folder, data, trained, tmp_path):
     assert len(row["features"]) == 33
     out = scoring.score_and_value(
         spark, order_sales(spark, folder), customer_accounts(spark, folder), SETTINGS, paths["tree"],
-        str(tmp_path / "scored"), data.medians)
+        str(tmp_path / "scored"))
     clients = out["clients"].collect()
     summary = out["summary"].first()
     assert summary["clients"] == len(clients) == len({r["client_id"] for r in clients}) == 337
