@@ -68,7 +68,7 @@ class Index:
         term, item = key // max(1, len(items)), key % max(1, len(items))
         df = np.bincount(term, minlength=len(self.terms))
         idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, n.mean())))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / max(1.0, n.mean() if len(n) else 0.0)))
         total = np.bincount(item, weight, len(items))
         self.item, self.weight = item, weight / total[item]  # by term, then item
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
