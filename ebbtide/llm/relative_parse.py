@@ -13,7 +13,8 @@ Matched windows that follow each other make up the factors. Each has 35 words or
 
 What is shuffled grows with the number of blocks (a tenth of the words), not with the words, and only blocks with a
 repeated anchor go on. Counts are combined before each shuffle, and a frequent block meets its documents by plain joins
-that adaptive execution splits. Texts are shuffled once, by row; that exchange serves the check and the result.
+that adaptive execution splits. Rows are numbered once and written with their texts; all passes read that table, so a row
+has one number however the input is split. Texts are shuffled twice, by row: for the check and for the result.
 """
 
 from __future__ import annotations
@@ -153,12 +154,13 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Removes every word covered by a window whose word sequence also starts elsewhere, in the same document too. Edges are
     word positions: begin and end of the first removed span, of the second, ... NULL and empty texts have no words.
-    Repeated rows are each other's copies. `docs` is a stored table: its rows are numbered as they are read, in each pass.
+    Repeated rows are each other's copies. Rows are numbered in one pass and written; no later pass reads `docs`.
     Windows are compared by 64-bit hashes, whole blocks by two of them.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = materialise(rows, "numbered")
     index = block_rows(rows, window, anchor, False).groupBy("anchor").agg(
         F.count(F.lit(1)).alias("times"), F.min("block").alias("low"), F.max("block").alias("high"))
     index = materialise(index.where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")),

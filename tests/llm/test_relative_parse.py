@@ -59,3 +59,23 @@ def test_odd_rows(spark):
                                       (None, 2, 0), (6, 3, 0), (7, 36, 36), (8, 35, 0)]]
     assert sorted([tuple(r[:3]) for r in got], key=str) == sorted(want, key=str)
     assert R.remove_repeated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_row_numbers_do_not_depend_on_how_the_input_is_split(spark, monkeypatch, tmp_path):
+    rows = make(5, 90, 5000)
+    for k in range(6):  # files of different sizes: packed largest first
+        part = rows[k * (k + 1) * 2 : (k + 1) * (k + 2) * 2] if k < 5 else rows[60:]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    splits, write = iter(["1m", "1k", "20k"] * 10), R.materialise
+
+    def written(df, name="table"):
+        out = write(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(splits))  # as if executors came and went
+        return out
+
+    monkeypatch.setattr(R, "materialise", written)
+    try:
+        got = R.remove_repeated(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted([(*r[:4], list(r[4])) for r in got], key=str) == brute(rows, 35)
