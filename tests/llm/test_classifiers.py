@@ -143,3 +143,16 @@ def test_licence_mentions_and_odd_rows(spark, licences):
     got = {(r["doc_id"], r["place"], r["family"]) for r in P.licence_paragraphs(docs, licences).collect()}
     assert got == {(4, 2, "mpl"), (None, 0, "apache")}
     assert P.licence_paragraphs(docs.limit(0), licences).count() == 0
+
+
+def test_licence_notices_inside_longer_lines(spark, licences):
+    prose = "The weather in the valley was mild and the farmers of the region went to the market with their goods "
+    rows = [(1, "Copyright (c) 2021 Jane Doe. Released under the MIT License."),
+            (2, prose * 20 + "and this work is licensed under the GNU General Public License, version 3. " + prose * 20),
+            (3, prose + "Licensed under CC BY-NC 4.0. " + prose),
+            (4, prose + "Released under the MIT License. " + prose + "Licensed under the Apache License, Version 2.0. "),
+            (5, prose + "and the album was released under the terms of the contract, subject to the following conditions"),
+            (6, "She studied at MIT; the license of the restaurant was renewed free of charge. " + prose)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["place"], r["family"]) for r in P.licence_paragraphs(docs, licences).collect())
+    assert got == [(1, 0, "mit"), (2, 0, "gpl"), (3, 0, "cc-by-nc"), (4, 0, "apache"), (4, 0, "mit")]
