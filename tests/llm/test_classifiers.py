@@ -156,3 +156,73 @@ def test_licence_notices_inside_longer_lines(spark, licences):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["place"], r["family"]) for r in P.licence_paragraphs(docs, licences).collect())
     assert got == [(1, 0, "mit"), (2, 0, "gpl"), (3, 0, "cc-by-nc"), (4, 0, "apache"), (4, 0, "mit")]
+
+
+def test_training_pieces_have_the_stated_numbers_of_words(spark):
+    rows = spark.createDataFrame([("a", [f"w{k}" for k in range(16)]), ("b", ["x", "y"])], "family string, words array<string>")
+    got = {}
+    for r in P.pieces(rows).collect():
+        got.setdefault(r["family"], []).append(r["words"])
+    whole = [f"w{k}" for k in range(16)]
+    want = [whole] + [whole[i : i + k] for k in (5, 8, 13) for i in range(16 - k + 1)]
+    assert sorted(got["a"]) == sorted(want) and got["b"] == [["x", "y"]]
+
+
+def plain_runs(pairs, own, fewest):
+    """Runs as `matching_runs` describes them, with a plain loop."""
+    found, k = [], 0
+    while k < len(pairs):
+        if pairs[k] not in own:
+            k += 1
+            continue
+        first, score, hits, best, end, most = k, 0, 0, 0, k, 0
+        while k < len(pairs):
+            if pairs[k] in own:
+                score, hits = score + P.GAIN, hits + 1
+                if score >= best:
+                    best, end, most = score, k + 1, hits
+            else:
+                if score < P.LOSS:
+                    break
+                score -= P.LOSS
+            k += 1
+        if most >= fewest:
+            found.append((first, end - first, most))
+    return found
+
+
+def test_matching_runs_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = [[str(x) for x in rng.choice(["a", "b", "c", "x", "y"], n, p=p)]
+            for n in (0, 1, 2, 3, 7, 20, 60, 300) for p in ([0.2] * 5, [0.3, 0.3, 0.3, 0.05, 0.05], [0.1] * 3 + [0.35] * 2)]
+    own = ["a", "b", "c"]
+    df = spark.createDataFrame([(r,) for r in rows], "pairs array<string>")
+    for fewest in (1, 3, 8):
+        got = df.select("pairs", P.matching_runs(F.col("pairs"), own, fewest).alias("runs"),
+                        P.has_run(F.col("pairs"), own, fewest).alias("any")).collect()
+        for r in got:
+            want = plain_runs(r["pairs"], own, fewest)
+            assert [tuple(x) for x in r["runs"]] == want and (r["any"] or not want)
+
+
+def test_only_what_cannot_be_confirmed_is_left_out(spark, licences):
+    rng = np.random.default_rng(6)
+    known = sorted(licences.followers)
+    rows = [[str(x) for x in rng.choice(known if rng.random() < 0.7 else [*known[:20], "zz", "qq"], n)]
+            for n in (1, 2, 3, 5, 9, 14) for _ in range(30)]
+    listed = [r["words"] for r in licences.templates.collect()]
+    rows += [x[i : i + n] + ["zz"] * z for x in listed for i in (0, 2) for n in (3, 6, 12) for z in (0, 1, 3)]
+    df = spark.createDataFrame([(r,) for r in rows], "words array<string>")
+    for r in df.select("words", licences.could_be_confirmed(F.col("words")).alias("could")).collect():
+        own = {" ".join(p) for p in zip(r["words"], r["words"][1:])}
+        share = max(len(own & set(licences.own_pairs(f))) / max(1, len(own)) for f in P.FAMILIES)
+        assert r["could"] or not own or share < P.CONFIRMED, r["words"]
+
+
+def test_long_repeated_and_clashing_licence_lines(spark, licences):
+    line = "Released under the MIT License."
+    rows = [(1, "word " * 60000 + line + " word" * 60000, "v", 1), (2, line, "v", 1), (2, line, "v", 1),
+            (3, line + "\n" + line, "v", 1), (4, (line + " ") * 400, "v", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, family string, row int")
+    got = [(r["doc_id"], r["place"], r["family"]) for r in P.licence_paragraphs(docs, licences).collect()]
+    assert sorted(got) == [(1, 0, "mit"), (2, 0, "mit"), (2, 0, "mit"), (3, 0, "mit"), (3, 1, "mit"), (4, 0, "mit")]
