@@ -16,8 +16,8 @@ their whole texts. With 30 bands of 5 coordinates a pair of similarity 0.8 is mi
 Groups of thousands are joined without listing their pairs. Equal texts are one node. In a band bucket each node is first
 verified against one pivot, in a few rounds with different pivots; verified links are merged into components. Buckets
 that still hold several components are then compared completely, whatever their size: of buckets with the same nodes one
-is taken, a large bucket is dealt out as pairs of blocks, and a task multiplies the shingle matrices of two blocks and
-returns only links that join components. A pair inside one component needs no check, as its link cannot change a class.
+is taken, and its nodes are dealt into blocks of bounded size, of which all pairs but those inside one component are
+compared (`blocks`). A pair inside one component needs no check, as its link cannot change a class.
 """
 
 from __future__ import annotations
@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.blocks import compare_buckets
 from ebbtide.llm.components import components
 from ebbtide.llm.tables import ship, table
-from ebbtide.llm.text import ODD, mix, powers, runs, slices, words
+from ebbtide.llm.text import ODD, bounded, mix, powers, runs, slices, words
 from ebbtide.session import materialise
 
 SHINGLE, SIMILARITY, BANDS, ROWS, PIVOT_ROUNDS = 5, 0.8, 30, 5, 3
+#: Text that is compared at once in a task (a single longer pair is compared alone).
+PAIR_BYTES = 1 << 19
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE):
@@ -134,12 +137,11 @@ def weighted_jaccard(pairs: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 64
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
+            for first, last in bounded([batch.column(c) for c in (2, 3)], PAIR_BYTES):
+                part = batch.slice(first, last - first)
                 sides = []
                 for c in (2, 3):
-                    found = [(row + first, value, count) for first, last, data, offsets in slices(part.column(c))
+                    found = [(row + at, value, count) for at, _, data, offsets in slices(part.column(c))
                              for row, value, count in [shingles(data, offsets)]]
                     sides.append([np.concatenate(x) for x in zip(*found)])
                 row, value, count = (np.concatenate(x) for x in zip(*sides))
@@ -174,87 +176,6 @@ def layered(texts: pa.Array):
     return row[rep], value[rep] + ODD * layer.astype(np.uint64), np.bincount(row, count, len(texts))
 
 
-def joining_links(root: np.ndarray, block: np.ndarray, texts: pa.Array, similarity: float, size: int = 256):
-    """Pairs of places with similar texts, enough of them to connect all components (roots) that have any.
-
-    Places of different blocks are compared if there are two blocks, else all.
-    """
-    row, value, total = layered(texts)
-    found = []
-    _, root = np.unique(root, return_inverse=True)
-    first, second = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    for a in range(0, len(first), size):
-        for b in range(a if block.min() == block.max() else 0, len(second), size):
-            left, right = first[a : a + size], second[b : b + size]
-            both = np.unique(np.concatenate([left, right]))
-            if len(np.unique(root[both])) < 2:
-                continue
-            use = np.concatenate([np.arange(bounds[p], bounds[p + 1]) for p in both])
-            _, column, times = np.unique(value[use], return_inverse=True, return_counts=True)
-            shared = times[column] > 1
-            use, column = use[shared], np.unique(column[shared], return_inverse=True)[1]
-            local, common = np.searchsorted(both, row[use]), np.zeros((len(both), len(both)), np.float32)
-            for c in range(0, int(column.max(initial=-1)) + 1, 8192):
-                part = (column >= c) & (column < c + 8192)
-                table_ = np.zeros((len(both), 8192), np.float32)
-                table_[local[part], column[part] - c] = 1
-                common += table_ @ table_.T
-            u, v = np.nonzero(common >= (similarity - 1e-9) * (total[both][:, None] + total[both] - common))
-            for i, j in zip(both[u], both[v]):
-                if root[i] != root[j] and (block[i] != block[j] or block.min() == block.max()):
-                    found.append((i, j))
-                    root[root == root[j]] = root[i]
-    return found
-
-
-def compare_buckets(mixed: DataFrame, texts: DataFrame, similarity: float, size: int = 1024) -> DataFrame:
-    """Links (u, v) that join components, from all buckets (band, node, root) of `mixed`."""
-    sets = mixed.groupBy("band").agg(
-        F.bit_xor(F.xxhash64("node")).alias("mark"), F.count(F.lit(1)).alias("n"), F.min("node").alias("low"),
-        F.max("node").alias("high"))
-    one = sets.groupBy("mark", "n", "low", "high").agg(F.min("band").alias("band"))
-    one = materialise(one.select("band", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("blocks")), "buckets")
-    rows = mixed.join(one, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node",
-                       "root", "block")
-    rows = rows.join(texts, "node").select("band", "i", "j", "node", "root", "block", "text")
-    rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(group: pa.Table):
-            group = group.combine_chunks()
-            if group.num_rows < 2:
-                return None
-            node, root, block = (group.column(c).to_numpy() for c in ("node", "root", "block"))
-            found = joining_links(root, block, group.column("text"), similarity)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(node[[i for i, _ in found]]), pa.array(node[[j for _, j in found]])],
-                names=["u", "v"]) if found else None
-
-        kept, kept_key = [], None
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], 1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-                if a == b:
-                    continue
-                if kept_key is not None and (keys[a] != kept_key).any():
-                    out = links(pa.Table.from_batches(kept))
-                    kept = []
-                    if out is not None:
-                        yield out
-                kept_key = keys[a]
-                kept.append(batch.slice(a, b - a))
-        if kept:
-            out = links(pa.Table.from_batches(kept))
-            if out is not None:
-                yield out
-
-    return rows.mapInArrow(compare, "u long, v long")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                     bands: int = BANDS, rows: int = ROWS, with_sha: bool = False) -> DataFrame:
     """`key`, `class_id` and `class_size` for each input row (and the SHA-256 of its text, if wanted).
@@ -277,7 +198,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     found = found.withColumn("sha", F.unhex(F.sha2("text", 256)))
     same = F.coalesce(F.col("least").cast("string"), F.lit("null"))
     texts = found.withColumn("least", same).join(wanted.withColumn("least", same), ["sha", "least"])
-    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    texts = materialise(texts.withColumn("size", F.octet_length("text") / 4), "texts")
 
     class_of = nodes.sparkSession.createDataFrame([], "node long, root long")
     links = tried = nodes.sparkSession.createDataFrame([], "u long, v long")
@@ -299,7 +221,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             tried = tried.unionByName(checked.select("u", "v"))
             links = links.unionByName(checked.where("linked").select("u", "v"))
         else:
-            links = links.unionByName(materialise(compare_buckets(mixed, texts, similarity), "joined"))
+            similar = lambda both, one, other: both >= (similarity - 1e-9) * (one + other - both)
+            links = links.unionByName(materialise(compare_buckets(mixed, texts, "text", layered, similar), "joined"))
         class_of = materialise(components(links), "classes")
 
     rooted = nodes.join(class_of, "node", "left").withColumn("root", F.coalesce("root", "node"))

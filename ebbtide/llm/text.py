@@ -56,6 +56,16 @@ def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = SLICE_ROWS):
         first = last
 
 
+def bounded(columns: list[pa.Array], most: int):
+    """First and last of consecutive rows that hold `most` bytes in these text columns; a larger row comes alone."""
+    ends = sum(raw_texts(c)[1] for c in columns)
+    first = 0
+    while first < len(ends) - 1:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words; a row's end ends its last word."""
     if not len(data):

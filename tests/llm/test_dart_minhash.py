@@ -2,10 +2,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import dart_minhash as D
+from ebbtide.llm.blocks import block_pairs, compare_buckets
 from ebbtide.llm.components import components
+from ebbtide.llm.text import bounded
 
 SCHEMA = "doc_id long, text string"
 
@@ -84,14 +88,41 @@ def test_classes(spark):
 
 
 def test_whole_buckets_are_compared_in_blocks(spark):
-    texts = near_group(5, 80, 14)
-    rows = [(k, t) for k, t in enumerate(texts)]
-    nodes = spark.createDataFrame([(k, t) for k, t in rows], "node long, text string")
-    mixed = spark.createDataFrame([(b, k, k) for k, _ in rows for b in (1, 2)] + [(3, 4, 4), (3, 9, 9)],
+    rows = [*enumerate(near_group(5, 80, 14)), *enumerate(near_group(6, 30, 2), 100)]
+    nodes = spark.createDataFrame([(k, t, len(t) / 4) for k, t in rows], "node long, text string, size double")
+    # nodes from 100 on are one component already; one bucket is repeated, one is a part of another
+    mixed = spark.createDataFrame([(b, k, min(k, 100)) for k, _ in rows for b in (1, 2)] + [(3, 4, 4), (3, 9, 9)],
                                   "band long, node long, root long")
-    links = D.compare_buckets(mixed, nodes, 0.8, size=16)
-    found = {r["node"]: r["root"] for r in components(links.select("u", "v")).collect()}
-    assert sorted((k, found.get(k, k)) for k, _ in rows) == [(k, c) for k, c, _ in sorted(brute(rows))]
+    similar = lambda both, one, other: both >= 0.8 * (one + other - both) - 1e-6
+    for most in (300, 1 << 17):
+        links = compare_buckets(mixed, nodes, "text", D.layered, similar, most)
+        links = links.unionByName(spark.createDataFrame([(k, 100) for k in range(101, 130)], "u long, v long"))
+        found = {r["node"]: r["root"] for r in components(links.select("u", "v")).collect()}
+        assert sorted((k, found.get(k, k)) for k, _ in rows) == [(k, c) for k, c, _ in sorted(brute(rows))]
+
+
+def test_blocks_are_bounded_and_leave_out_one_component(spark):
+    rows = [(1, k, 7 if k < 900 else k, 10.0) for k in range(1000)] + [(2, k, 7, 10.0) for k in range(500)]
+    mixed = spark.createDataFrame(rows, "band long, node long, root long, size double")
+    placed, pairs = block_pairs(mixed, 1000)
+    sizes = {(r["band"], r["block"]): r["n"] for r in placed.groupBy("band", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("root").alias("roots")).collect()}
+    assert sum(n for (band, _), n in sizes.items() if band == 1) == 1000 and max(sizes.values()) < 200
+    root = {r["node"]: r["root"] for r in placed.where("band = 1").collect()}
+    block = {r["node"]: r["block"] for r in placed.where("band = 1").collect()}
+    listed = {(r["i"], r["j"]) for r in pairs.where("band = 1").collect()}
+    for a in range(0, 1000, 13):
+        for b in range(0, 1000, 7):
+            if root[a] != root[b]:
+                assert tuple(sorted((block[a], block[b]))) in listed
+    large = {block[k] for k in range(900)}
+    assert pairs.where("band = 2").count() == 0 and not any(i in large and j in large for i, j in listed)
+
+
+def test_long_pairs_are_compared_alone():
+    texts = pa.array(["a" * 10, "b" * 500, None, "c", "d" * 90])
+    assert list(bounded([texts, texts], 100)) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    assert list(bounded([texts.slice(0, 0)], 100)) == []
 
 
 def test_components_of_chains_and_loops(spark):
