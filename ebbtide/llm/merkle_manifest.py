@@ -22,8 +22,6 @@ names, are not looked at.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,20 +82,27 @@ def rows_before(counted: DataFrame, keys: list[str], place: str, bits: int = FAN
     return base
 
 
+def set_bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def low_bits(number: Column, bits: int) -> Column:
+    return number.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+
 def containers(ids: DataFrame) -> DataFrame:
     """The bitmaps of `ids` (grp, key, n): `grp`, `container`, `present`, `bits`, `before`, `repeats`, `base`."""
-    one = F.shiftleft(F.lit(1).cast("long"), (F.col("key") % 64 + 64).cast("int") % 64)
+    place = low_bits(F.col("key"), WORD_BITS)
     words = ids.groupBy("grp", F.shiftright("key", WORD_BITS).alias("word")).agg(
-        F.bit_or(one).alias("bits"), F.sum("n").alias("n"), F.collect_list(F.when(
-            F.col("n") > 1, F.struct((F.col("key") % 64 + 64).cast("int").alias("bit"),
-                                     (F.col("n") - 1).alias("more")))).alias("repeats"))
-    spot = (F.col("word").bitwiseAND(F.lit(511).cast("long"))).cast("int")
+        F.bit_or(set_bit(place)).alias("bits"), F.sum("n").alias("n"), F.collect_list(F.when(
+            F.col("n") > 1, F.struct(place.alias("bit"), (F.col("n") - 1).alias("more")))).alias("repeats"))
+    spot = low_bits(F.col("word"), CONTAINER_BITS - WORD_BITS)
     held = words.groupBy("grp", F.shiftright("word", CONTAINER_BITS - WORD_BITS).alias("container")).agg(
         F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(spot.alias("spot"), "bits", "n", "repeats"))).alias("w"))
-    bit = lambda w: F.shiftleft(F.lit(1).cast("long"), w["spot"] % 64)
+    zero = F.lit(0).cast("long")
     part = lambda k: F.aggregate(
-        F.filter("w", lambda w: F.floor(w["spot"] / 64) == k), F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(bit(w)))
-    sums = F.aggregate("w", F.array(F.lit(0).cast("long")), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w["n"])))
+        F.filter("w", lambda w: F.floor(w["spot"] / 64) == k), zero, lambda s, w: s.bitwiseOR(set_bit(w["spot"] % 64)))
+    sums = F.aggregate("w", F.array(zero), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w["n"])))
     held = held.select("grp", "container", "n", F.array(*(part(k) for k in range(8))).alias("present"),
                        F.col("w.bits").alias("bits"), sums.alias("before"), F.col("w.repeats").alias("repeats"))
     return rows_before(materialise(held, "containers"), ["grp"], "container")
@@ -105,19 +110,18 @@ def containers(ids: DataFrame) -> DataFrame:
 
 def below(bits: Column, place: Column) -> Column:
     """How many of the bits before `place` are set."""
-    mask = F.shiftleft(F.lit(1).cast("long"), place) - 1
-    return F.bit_count(bits.bitwiseAND(mask)).cast("long")
+    return F.bit_count(bits.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), place)))).cast("long")
 
 
 def rank(key: Column) -> Column:
     """Rows with a smaller key, from the container of the key."""
     at = lambda a, i: F.element_at(F.col(a), i + 1)
-    spot = F.shiftright(key, WORD_BITS).bitwiseAND(F.lit(511).cast("long")).cast("int")
+    spot = low_bits(F.shiftright(key, WORD_BITS), CONTAINER_BITS - WORD_BITS)
     eighth = F.floor(spot / 64).cast("int")
     earlier = F.aggregate(F.slice("present", F.lit(1), eighth), F.lit(0).cast("long"), lambda s, p: s + F.bit_count(p))
     word = (earlier + below(at("present", eighth), spot % 64)).cast("int")
-    bit = ((key % 64 + 64) % 64).cast("int")
-    more = F.aggregate(F.filter(at("repeats", word), lambda r: r["bit"] % 64 < bit), F.lit(0).cast("long"),
+    bit = low_bits(key, WORD_BITS)
+    more = F.aggregate(F.filter(at("repeats", word), lambda r: r["bit"] < bit), F.lit(0).cast("long"),
                        lambda s, r: s + r["more"])
     return F.col("base") + at("before", word) + below(at("bits", word), bit) + more
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbtide.llm import bm25_index, dart_minhash, exact_blocks, language_tree, license_paragraphs, mixing, prefix_tokens
-from ebbtide.llm import merkle_manifest, part_enum, quality_neighbours, relative_parse, subword_toxicity
+from ebbtide.llm import merkle_manifest, part_enum, quality_neighbours, relative_parse, spectral_whitening, subword_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op8_language": language_tree.op8_language,
         "op9_exact_dedup": exact_blocks.op9_exact_dedup,
         "op10_token_counts": prefix_tokens.op10_token_counts,
+        "op11_whitening": spectral_whitening.op11_whitening,
         "op12_ngram_join": part_enum.op12_ngram_join,
         "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     }
