@@ -4,8 +4,8 @@ A document is the set of its distinct three-word shingles (words in lower case a
 shingle of all its words. Two documents are linked if 100 * |both| >= 90 * |either|. With H features in only one of two
 sets and S as the sum of their sizes this is 19 * H <= S, so linked sets differ little in size too.
 
-Sizes are cut into bands that are no wider than that: linked sets lie in one band or in two neighbouring ones. Each set is
-signed for its own band and for the next one, so that linked sets are signed for a common band, in which they differ in
+Sizes are cut into bands STEPS times as wide as that. A set is signed for its own band, and for the next one if it could
+be linked to the smallest set there, so that linked sets are signed for a common band, in which they differ in
 at most k features. There the features are hashed into n1 parts, and each part into n2 cells. Some part has at most
 k2 = floor(k / n1) of the differing features, so at most k2 of its cells differ. A signature is a part without k2 of its
 cells, for every choice of these: linked sets share one of them for certain, so nothing is missed. n1 and n2 are chosen
@@ -36,40 +36,48 @@ from pyspark.sql import functions as F
 from ebbtide.llm.blocks import compare_buckets, one_of_each_set
 from ebbtide.llm.components import components
 from ebbtide.llm.tables import ship, table
-from ebbtide.llm.text import ODD, mix, runs, slices, words
+from ebbtide.llm.text import ODD, bounded, mix, runs, slices, words
 from ebbtide.session import materialise
 
-#: Words of a shingle; least similarity as a fraction; features wanted in a signature; rounds with pivots.
-SHINGLE, LEAST, FEATURES, PIVOT_ROUNDS = 3, (90, 100), 10, 3
-SLICE = 1 << 19
+#: Words of a shingle; least similarity as a fraction; width of a band as a power of it; features wanted in a signature;
+#: rounds with pivots; bytes of text handled at once (a single longer text is handled alone).
+SHINGLE, LEAST, STEPS, FEATURES, PIVOT_ROUNDS, SLICE = 3, (90, 100), 3, 8, 3, 1 << 19
 
 Fraction = tuple[int, int]
 
 
 @functools.cache
-def band_of(size: int, least: Fraction = LEAST) -> int:
-    """The first size of the band in which `size` lies; the band ends at the largest size that could be linked to it."""
+def band_end(first: int, least: Fraction = LEAST) -> int:
+    """The last size of the band that begins at `first`."""
+    return first * least[1] ** STEPS // least[0] ** STEPS
+
+
+@functools.cache
+def bands_of(size: int, least: Fraction = LEAST) -> tuple[int, ...]:
+    """The first sizes of the bands for which a set is signed: its own one, and the next one if it comes near it."""
     first = 1
-    while True:
-        last = first * least[1] // least[0]
-        if size <= last:
-            return first
-        first = last + 1
+    while band_end(first, least) < size:
+        first = band_end(first, least) + 1
+    after = band_end(first, least) + 1
+    return (first, after) if size * least[1] // least[0] >= after else (first,)
+
+
+def most_different(first: int, least: Fraction = LEAST) -> int:
+    """In how many features linked sets that are signed for a band differ at most."""
+    return 2 * band_end(first, least) * (least[1] - least[0]) // (least[1] + least[0])
 
 
 @functools.cache
 def plan(first: int, least: Fraction = LEAST, features: int = FEATURES) -> tuple[int, int, int]:
-    """(n1, n2, k2) for the band that begins at `first`, for sets of it and of the band before."""
-    last = first * least[1] // least[0]
-    most = 2 * last * (least[1] - least[0]) // (least[1] + least[0])
-    before = max(1, first * least[0] // least[1])
+    """(n1, n2, k2) for the band that begins at `first`, so that the smallest sets signed for it have enough features."""
+    most = most_different(first, least)
+    smallest = -(-first * least[0] // least[1])
     options = []
     for depth in range(4):
-        # the fewest parts of which one has at most `depth` of the k + 1 features
         n1 = math.ceil((most + 1) / (depth + 1))
         k2 = most // n1
         for n2 in range(k2 + 1, k2 + 5):
-            held = before / n1 * (n2 - k2) / n2
+            held = smallest / n1 * (n2 - k2) / n2
             options.append((-min(held, features), n1 * math.comb(n2, k2), n1, n2, k2))
     _, _, n1, n2, k2 = min(options)
     return n1, n2, k2
@@ -133,19 +141,17 @@ def signed(docs: DataFrame, key: str, text: str, length: int, least: Fraction, f
                 row, value, size = shingle_sets(data, offsets, length)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 prints = np.stack([row_sums(mix(value + ODD), ends), row_sums(mix(value ^ ODD), ends)], 1)
-                own = np.array([band_of(int(s), least) if s else 0 for s in size], np.int64)
+                tags: dict[int, list[int]] = {}
+                for r in np.flatnonzero(size):
+                    for tag in bands_of(int(size[r]), least):
+                        if most_different(tag, least):  # sets that differ in nothing are one node already
+                            tags.setdefault(tag, []).append(r)
                 made: list[list[np.ndarray]] = [[] for _ in size]
-                for band in np.unique(own[own > 0]):
-                    at = np.flatnonzero(own == band)
+                for tag, at in tags.items():
                     use = np.concatenate([np.arange(ends[r], ends[r + 1]) for r in at])
                     inner = np.concatenate([[0], np.cumsum(size[at])])
-                    after = int(band) * least[1] // least[0] + 1
-                    for tag in (int(band), after):
-                        # sets that differ in no feature are one node already
-                        if 2 * (tag * least[1] // least[0]) * (least[1] - least[0]) < least[1] + least[0]:
-                            continue
-                        for r, x in zip(at, signatures(value[use], inner, tag, least, features)):
-                            made[r].append(x)
+                    for r, x in zip(at, signatures(value[use], inner, tag, least, features)):
+                        made[r].append(x)
                 lists = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in made]
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)
@@ -158,26 +164,31 @@ def signed(docs: DataFrame, key: str, text: str, length: int, least: Fraction, f
     return picked.mapInArrow(sign, f"key {kind}, text_hash long, size long, print long, other long, bands array<long>")
 
 
-def sets_of(texts: DataFrame, length: int) -> DataFrame:
-    """`node`, `size` and `features` (sorted hashes) for rows (node, text)."""
+def sets_in(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and value of each feature, and features per row."""
+    found = [(row + first, value, size) for first, _, data, offsets in slices(texts)
+             for row, value, size in [shingle_sets(data, offsets, length)]]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in slices(batch.column(1), SLICE, 512):
-                _, value, size = shingle_sets(data, offsets, length)
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:last], pa.array(size.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))],
-                    names=["node", "size", "features"])
 
-    return texts.select("node", "text").mapInArrow(make, "node long, size long, features array<long>")
+def linked(pairs: DataFrame, texts: DataFrame, length: int, least: Fraction) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough, from their whole texts."""
+    for c in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")), c)
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in bounded([batch.column(2), batch.column(3)], SLICE):
+                part = batch.slice(first, last - first)
+                left, right = sets_in(part.column(2), length), sets_in(part.column(3), length)
+                row, value = (np.concatenate([left[i], right[i]]) for i in (0, 1))
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                both = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=last - first)
+                yield part.select(["u", "v"]).filter(pa.array(
+                    least[1] * both >= least[0] * (left[2] + right[2] - both)))
 
-def listed(features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and value of each feature, and features per row."""
-    total = np.diff(features.offsets.to_numpy())
-    return np.repeat(np.arange(len(total)), total), features.flatten().to_numpy(), total
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE,
@@ -201,7 +212,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = docs.select(F.xxhash64(text).alias("text_hash"), as_text(key).alias("key"), F.col(text).alias("text"))
     texts = found.join(materialise(wanted, "wanted"), ["text_hash", "key"]).groupBy("node").agg(
         F.first("text").alias("text"))
-    sets = materialise(sets_of(texts, length), "sets")
+    texts = materialise(texts.withColumn("size", F.octet_length("text") / 4), "texts")
 
     def similar(both, one, other):
         return high * both.astype(np.float64) >= low * (one + other - both.astype(np.float64))
@@ -222,15 +233,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             close = high * F.least("size", "p.size") >= low * F.greatest("size", "p.size")
             pairs = mixed.join(pivots, "band").where((F.col("root") != F.col("p.root")) & close).select(
                 F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v"))
+            if not step:  # at first one pair for each node: most others are joined by then
+                pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
             pairs = materialise(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
             tried = tried.unionByName(pairs)
-            side = lambda c: sets.select(F.col("node").alias(c), F.col("features").alias(f"of_{c}"))
-            both = F.size(F.array_intersect("of_u", "of_v")).cast("long")
-            either = F.size("of_u") + F.size("of_v") - both
-            checked = pairs.join(side("u"), "u").join(side("v"), "v").where(high * both >= low * either)
-            links = links.unionByName(materialise(checked.select("u", "v"), "checked"))
+            links = links.unionByName(materialise(linked(pairs, texts, length, least), "checked"))
         else:
-            joined = compare_buckets(mixed.select("band", "node", "root"), sets, "features", listed, similar)
+            joined = compare_buckets(mixed.select("band", "node", "root"), texts, "text",
+                                     functools.partial(sets_in, length=length), similar)
             links = links.unionByName(materialise(joined, "joined"))
         class_of = materialise(components(links), "classes")
 
@@ -250,13 +260,13 @@ def op12_ngram_join(spark, folder: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-g AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_sort(list_distinct(
-    list_transform(range(1, greatest(len(w) - 2, 1) + 1), i -> array_to_string(w[i : i + 2], ' ')))) END AS s
-  FROM d),
+k AS (
+  SELECT rid, list(DISTINCT array_to_string(w[i : i + 2], ' ') ORDER BY array_to_string(w[i : i + 2], ' ')) AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0) GROUP BY rid),
+g AS (SELECT doc_id, coalesce(s, []::VARCHAR[]) AS s FROM d LEFT JOIN k USING (rid)),
 n AS (SELECT s, min(doc_id) AS node, len(s) AS size FROM g WHERE len(s) > 0 GROUP BY s),
 f AS (SELECT node, size, unnest(s) AS x FROM n),
 e AS (
