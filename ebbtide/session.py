@@ -52,3 +52,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table that `materialise` has written, once nothing that is still to be run reads it."""
+    jvm = written.sparkSession._jvm
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
