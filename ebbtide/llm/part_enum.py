@@ -11,9 +11,11 @@ k2 = floor(k / n1) of the differing features, so at most k2 of its cells differ.
 cells, for every choice of these: linked sets share one of them for certain, so nothing is missed. n1 and n2 are chosen
 for each band so that a signature is expected to hold FEATURES features, with as few signatures as that allows.
 
-Equal sets are one node. In a bucket (nodes with one signature) each node is first verified against one pivot, in rounds;
-verified links are merged into components. Buckets that then hold several components still are compared completely in
-blocks of bounded size (`blocks`). Nothing else decides: links are verified on the whole sets. Features are 64-bit hashes
+Equal sets are one node. In a bucket (nodes with one signature) each node is compared with one pivot, which then leaves the
+bucket, in rounds; links are merged into components. Buckets that then hold several components still are compared completely in
+blocks of bounded size (`blocks`). A pair is left out before its texts are joined only if the sets cannot be linked: by
+their sizes, or by a sketch, the number of features in each of 64 cells, as sets whose counts differ by D in all have at
+least D different features. Nothing else decides: links are verified on the whole sets. Features are 64-bit hashes
 of shingles; equal sets are recognised by size and two such sums.
 
 NULL and texts without words have no set (0 shingles) and are linked with nothing. Repeated rows and rows without a key
@@ -36,12 +38,14 @@ from pyspark.sql import functions as F
 from ebbtide.llm.blocks import compare_buckets, one_of_each_set
 from ebbtide.llm.components import components
 from ebbtide.llm.tables import ship, table
-from ebbtide.llm.text import ODD, bounded, mix, runs, slices, words
-from ebbtide.session import materialise
+from ebbtide.llm.text import MIX_1, ODD, bounded, mix, runs, slices, words
+from ebbtide.session import discard, materialise
 
 #: Words of a shingle; least similarity as a fraction; width of a band as a power of it; features wanted in a signature;
 #: rounds with pivots; bytes of text handled at once (a single longer text is handled alone).
-SHINGLE, LEAST, STEPS, FEATURES, PIVOT_ROUNDS, SLICE = 3, (90, 100), 3, 8, 3, 1 << 19
+SHINGLE, LEAST, STEPS, FEATURES, PIVOT_ROUNDS, SLICE = 3, (90, 100), 3, 7, 4, 1 << 19
+#: Cells of a sketch, in which the features of a set are counted.
+CELLS = 64
 
 Fraction = tuple[int, int]
 
@@ -132,7 +136,8 @@ def signatures(value: np.ndarray, ends: np.ndarray, first: int, least: Fraction,
 
 
 def signed(docs: DataFrame, key: str, text: str, length: int, least: Fraction, features: int) -> DataFrame:
-    """`key`, `size` (shingles), `print` (two sums that name the set) and `bands` (its signatures) of each row."""
+    """`key`, `size` (shingles), `print` and `other` (two sums that name the set), `sketch` and `bands` (its signatures)
+    of each row."""
     picked = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +145,8 @@ def signed(docs: DataFrame, key: str, text: str, length: int, least: Fraction, f
             for first, last, data, offsets in slices(batch.column(2), SLICE, 512):
                 row, value, size = shingle_sets(data, offsets, length)
                 ends = np.concatenate([[0], np.cumsum(size)])
+                cell = row * CELLS + (mix(value ^ MIX_1) % np.uint64(CELLS)).astype(np.int64)
+                sketch = np.bincount(cell, minlength=len(size) * CELLS).astype(np.int32)
                 prints = np.stack([row_sums(mix(value + ODD), ends), row_sums(mix(value ^ ODD), ends)], 1)
                 tags: dict[int, list[int]] = {}
                 for r in np.flatnonzero(size):
@@ -157,11 +164,14 @@ def signed(docs: DataFrame, key: str, text: str, length: int, least: Fraction, f
                 flat = np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[first:last], batch.column(1)[first:last], pa.array(size), pa.array(prints[:, 0].view(np.int64)),
-                     pa.array(prints[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
-                    names=["key", "text_hash", "size", "print", "other", "bands"])
+                     pa.array(prints[:, 1].view(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * CELLS), pa.array(sketch)),
+                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
+                    names=["key", "text_hash", "size", "print", "other", "sketch", "bands"])
 
     kind = picked.schema["key"].dataType.simpleString()
-    return picked.mapInArrow(sign, f"key {kind}, text_hash long, size long, print long, other long, bands array<long>")
+    return picked.mapInArrow(
+        sign, f"key {kind}, text_hash long, size long, print long, other long, sketch array<int>, bands array<long>")
 
 
 def sets_in(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,6 +181,17 @@ def sets_in(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (u, v) that sizes and sketches do not rule out."""
+    for c in ("u", "v"):
+        pairs = pairs.join(sketches.select(*(F.col(x).alias(y) for x, y in (
+            ("node", c), ("size", f"size_{c}"), ("sketch", f"sketch_{c}")))), c)
+    close = least[1] * F.least("size_u", "size_v") >= least[0] * F.greatest("size_u", "size_v")
+    apart = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+    near = (least[1] + least[0]) * apart <= (least[1] - least[0]) * (F.col("size_u") + F.col("size_v"))
+    return pairs.where(close & near).select("u", "v")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, length: int, least: Fraction) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough, from their whole texts."""
     for c in ("u", "v"):
@@ -196,14 +217,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """`key`, `n_shingles` and `component_id` (the smallest key that links lead to) for each input row."""
     ship(docs.sparkSession)
     low, high = least
-    marked = materialise(signed(docs, key, text, length, least, features), "signed")
+    written = materialise(signed(docs, key, text, length, least, features), "signed")
+    marked = materialise(written.select("key", "text_hash", "size", "print", "other"), "marked")
     same = ["size", "print", "other"]
     as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    nodes = marked.where("size > 0").groupBy(*same).agg(
+    nodes = written.where("size > 0").groupBy(*same).agg(
         F.min("key").alias("least"), F.min(F.struct("text_hash", as_text("key").alias("key"))).alias("row"),
-        F.first("bands").alias("bands"))
+        F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    signs = nodes.select("node", "size", F.explode("bands").alias("band"))
+    discard(written)
+    signs = nodes.select("node", F.explode("bands").alias("band"))
     several = materialise(signs.groupBy("band").count().where("count > 1").select("band"), "several")
     members = materialise(signs.join(several, "band", "left_semi"), "members")
     members = materialise(one_of_each_set(members), "kept-members")
@@ -217,27 +240,30 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def similar(both, one, other):
         return high * both.astype(np.float64) >= low * (one + other - both.astype(np.float64))
 
+    sketches = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "size", "sketch")
+    sketches = materialise(sketches, "sketches")
+
     class_of = nodes.sparkSession.createDataFrame([], "node long, root long")
     links = tried = nodes.sparkSession.createDataFrame([], "u long, v long")
-    for step in range(PIVOT_ROUNDS + 1):
+    for step in range(PIVOT_ROUNDS + 2):
         at = members.join(class_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
         at = materialise(at, "at")
         roots = at.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band")
         mixed = materialise(at.join(materialise(roots, "mixed-bands"), "band", "left_semi"), "mixed")
         if mixed.isEmpty():
             break
-        if step < PIVOT_ROUNDS:  # one pivot for each bucket, another one in each round
-            turn = F.xxhash64("node", F.lit(step)) if step else F.col("node")
-            pivots = materialise(mixed.groupBy("band").agg(
-                F.min(F.struct(turn.alias("turn"), "node", "root", "size")).alias("p")), "pivots")
-            close = high * F.least("size", "p.size") >= low * F.greatest("size", "p.size")
-            pairs = mixed.join(pivots, "band").where((F.col("root") != F.col("p.root")) & close).select(
-                F.greatest("node", "p.node").alias("u"), F.least("node", "p.node").alias("v"))
-            if not step:  # at first one pair for each node: most others are joined by then
+        if step <= PIVOT_ROUNDS:
+            pivots = materialise(mixed.groupBy("band").agg(F.min(F.struct("node", "root")).alias("p")), "pivots")
+            both = mixed.join(pivots, "band")
+            pairs = both.where("root != p.root").select(F.col("node").alias("u"), F.col("p.node").alias("v"))
+            if step:
+                members = materialise(both.where("node != p.node").select("node", "band"), "members")
+            else:  # at first one pair for each node, and pivots stay: most others are joined after that
                 pairs = pairs.groupBy("u").agg(F.min("v").alias("v"))
             pairs = materialise(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
             tried = tried.unionByName(pairs)
-            links = links.unionByName(materialise(linked(pairs, texts, length, least), "checked"))
+            near = materialise(possible(pairs, sketches, least), "possible")
+            links = links.unionByName(materialise(linked(near, texts, length, least), "checked"))
         else:
             joined = compare_buckets(mixed.select("band", "node", "root"), texts, "text",
                                      functools.partial(sets_in, length=length), similar)

@@ -96,7 +96,7 @@ def test_components_against_brute_force(spark):
 
 
 def test_buckets_of_several_components_are_compared_completely(spark, monkeypatch):
-    monkeypatch.setattr(P, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(P, "PIVOT_ROUNDS", -1)
     rows = [(k, t) for k, t in enumerate([*group(5, 70, 60, 4), *group(6, 20, 200, 9)])]
     got = P.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
