@@ -24,6 +24,7 @@ TILE, COLUMNS = 256, 4096
 
 Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 Test = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Make = Callable[[pa.Table], pa.RecordBatch]
 
 
 def one_of_each_set(members: DataFrame) -> DataFrame:
@@ -92,34 +93,23 @@ def joining_links(root: np.ndarray, block: np.ndarray, content: pa.Array, featur
     return found
 
 
-def compare_buckets(mixed: DataFrame, content: DataFrame, column: str, features: Features, similar: Test,
-                    most: int = BLOCK_SIZE) -> DataFrame:
-    """Links (u, v) that join components, from all buckets of `mixed` (band, node, root).
+def per_block_pair(mixed: DataFrame, content: DataFrame, columns: list[str], make: Make, schema: str,
+                   most: int = BLOCK_SIZE) -> DataFrame:
+    """What `make` returns for each pair of blocks of `mixed` (band, node, root).
 
-    `content` has `node`, `size` and `column`; `features` gives row, value (once a row) and total per row of an array of
-    that column, and `similar` tells from the shared number and both totals whether two nodes are linked.
+    `content` has `node`, `size` and `columns`; `make` gets a table with band, node, root, block and these columns.
     """
     sizes = content.select("node", F.greatest("size", F.lit(1)).alias("size"))
-    sized = materialise(one_of_each_set(mixed).select("band", "node", "root").join(sizes, "node"), "sized")
+    sized = materialise(mixed.select("band", "node", "root").join(sizes, "node"), "sized")
     placed, pairs = block_pairs(sized, most)
     pairs = materialise(pairs, "block-pairs")
     sides = pairs.select("band", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     rows = sides.join(placed, ["band", "block"]).select("band", "i", "j", "node", "root", "block")
-    rows = materialise(rows, "sides").join(content.select("node", F.col(column).alias("content")), "node")
-    rows = rows.select("band", "i", "j", "root", "block", "node", "content")
+    rows = materialise(rows, "sides").join(content.select("node", *columns), "node")
+    rows = rows.select("band", "i", "j", "root", "block", "node", *columns)
     rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-    def links(group: pa.Table) -> pa.RecordBatch | None:
-        group = group.combine_chunks()
-        if group.num_rows < 2:
-            return None
-        node, root, block = (group.column(c).to_numpy() for c in ("node", "root", "block"))
-        found = joining_links(root, block, group.column("content").combine_chunks(), features, similar)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(node[[i for i, _ in found]]), pa.array(node[[j for _, j in found]])],
-            names=["u", "v"]) if found else None
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kept_key = [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], 1)
@@ -128,14 +118,58 @@ def compare_buckets(mixed: DataFrame, content: DataFrame, column: str, features:
                 if a == b:
                     continue
                 if kept_key is not None and (keys[a] != kept_key).any():
-                    out, kept = links(pa.Table.from_batches(kept)), []
-                    if out is not None:
-                        yield out
+                    group, kept = pa.Table.from_batches(kept).combine_chunks(), []
+                    if group.num_rows > 1:
+                        yield make(group)
                 kept_key = keys[a]
                 kept.append(batch.slice(a, b - a))
-        if kept:
-            out = links(pa.Table.from_batches(kept))
-            if out is not None:
-                yield out
+        if kept and sum(len(k) for k in kept) > 1:
+            yield make(pa.Table.from_batches(kept).combine_chunks())
+
+    return rows.mapInArrow(run, schema)
+
+
+def compare_buckets(mixed: DataFrame, content: DataFrame, column: str, features: Features, similar: Test,
+                    most: int = BLOCK_SIZE) -> DataFrame:
+    """Links (u, v) that join components, from all buckets of `mixed` (band, node, root).
+
+    `features` gives row, value (once a row) and total per row of an array of `column`, and `similar` tells from the
+    shared number and both totals whether two nodes are linked.
+    """
+
+    def links(group: pa.Table) -> pa.RecordBatch:
+        node, root, block = (group.column(c).to_numpy() for c in ("node", "root", "block"))
+        found = joining_links(root, block, group.column(column).combine_chunks(), features, similar)
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+
+    return per_block_pair(one_of_each_set(mixed), content, [column], links, "u long, v long", most)
+
+
+def with_possible_partner(mixed: DataFrame, sketches: DataFrame, weights: tuple[int, int]) -> DataFrame:
+    """The rows of `mixed` (band, node, root) whose sketch allows a link with a node of another root in the same bucket.
+
+    `sketches` has `node`, `sketch` (counts of features by cell) and `features` (their number); a link is possible if
+    the counts differ by at most weights[1] / weights[0] of the sum of both numbers. What comes out grows with the rows,
+    not with their pairs.
+    """
 
-    return rows.mapInArrow(compare, "u long, v long")
+    def flag(group: pa.Table) -> pa.RecordBatch:
+        node, root, block, band, size = (
+            group.column(c).to_numpy() for c in ("node", "root", "block", "band", "features"))
+        counts = group.column("sketch").combine_chunks()
+        counts = counts.flatten().to_numpy().reshape(len(node), -1).astype(np.int32)
+        near = np.zeros(len(node), bool)
+        first, second = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
+        for a in range(0, len(first), 128):
+            for b in range(a if block.min() == block.max() else 0, len(second), 128):
+                u, v = first[a : a + 128], second[b : b + 128]
+                apart = np.abs(counts[u][:, None, :] - counts[v][None, :, :]).sum(2)
+                could = (weights[0] * apart <= weights[1] * (size[u][:, None] + size[v])) & (root[u][:, None] != root[v])
+                near[u] |= could.any(1)
+                near[v] |= could.any(0)
+        return pa.RecordBatch.from_arrays([pa.array(band[near]), pa.array(node[near])], names=["band", "node"])
+
+    content = sketches.withColumn("size", F.size("sketch"))
+    flagged = per_block_pair(one_of_each_set(mixed), content, ["sketch", "features"], flag, "band long, node long")
+    return mixed.join(materialise(flagged.distinct(), "flagged"), ["band", "node"], "left_semi")

@@ -13,7 +13,7 @@ for each band so that a signature is expected to hold FEATURES features, with as
 
 Equal sets are one node. In a bucket (nodes with one signature) each node is compared with one pivot, which then leaves the
 bucket, in rounds; links are merged into components. Buckets that then hold several components still are compared completely in
-blocks of bounded size (`blocks`). A pair is left out before its texts are joined only if the sets cannot be linked: by
+blocks of bounded size (`blocks`), first their sketches, then the texts of those that could have a partner. A pair is left out before its texts are joined only if the sets cannot be linked: by
 their sizes, or by a sketch, the number of features in each of 64 cells, as sets whose counts differ by D in all have at
 least D different features. Nothing else decides: links are verified on the whole sets. Features are 64-bit hashes
 of shingles; equal sets are recognised by size and two such sums.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.blocks import compare_buckets, one_of_each_set
+from ebbtide.llm.blocks import compare_buckets, one_of_each_set, with_possible_partner
 from ebbtide.llm.components import components
 from ebbtide.llm.tables import ship, table
 from ebbtide.llm.text import MIX_1, ODD, bounded, mix, runs, slices, words
@@ -43,7 +43,7 @@ from ebbtide.session import discard, materialise
 
 #: Words of a shingle; least similarity as a fraction; width of a band as a power of it; features wanted in a signature;
 #: rounds with pivots; bytes of text handled at once (a single longer text is handled alone).
-SHINGLE, LEAST, STEPS, FEATURES, PIVOT_ROUNDS, SLICE = 3, (90, 100), 3, 7, 4, 1 << 19
+SHINGLE, LEAST, STEPS, FEATURES, PIVOT_ROUNDS, SLICE = 3, (90, 100), 3, 7, 1, 1 << 19
 #: Cells of a sketch, in which the features of a set are counted.
 CELLS = 64
 
@@ -265,7 +265,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             near = materialise(possible(pairs, sketches, least), "possible")
             links = links.unionByName(materialise(linked(near, texts, length, least), "checked"))
         else:
-            joined = compare_buckets(mixed.select("band", "node", "root"), texts, "text",
+            counted = sketches.withColumnRenamed("size", "features")
+            left = with_possible_partner(mixed.select("band", "node", "root"), counted, (high + low, high - low))
+            joined = compare_buckets(materialise(left, "left"), texts, "text",
                                      functools.partial(sets_in, length=length), similar)
             links = links.unionByName(materialise(joined, "joined"))
         class_of = materialise(components(links), "classes")

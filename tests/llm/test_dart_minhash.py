@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.llm import dart_minhash as D
-from ebbtide.llm.blocks import block_pairs, compare_buckets
+from ebbtide.llm.blocks import block_pairs, compare_buckets, with_possible_partner
 from ebbtide.llm.components import components
 from ebbtide.llm.text import bounded
 
@@ -119,6 +119,22 @@ def test_blocks_are_bounded_and_leave_out_one_component(spark):
     assert pairs.where("band = 2").count() == 0 and not any(i in large and j in large for i, j in listed)
 
 
+def test_sketches_leave_out_only_what_cannot_be_linked(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 9, (6, 16))
+    counts = {k: (base[k % 6] + (rng.random(16) < 0.1)).tolist() for k in range(60)}
+    sketches = spark.createDataFrame([(k, c, sum(c)) for k, c in counts.items()], "node long, sketch array<int>, features long")
+    mixed = [(1, k, k // 12 * 12) for k in range(60)] + [(2, k, k // 12 * 12) for k in range(20)]
+    got = with_possible_partner(spark.createDataFrame(mixed, "band long, node long, root long"), sketches, (19, 1))
+    want = set()
+    for b, u, r in mixed:
+        for c, v, s in mixed:
+            apart = sum(abs(x - y) for x, y in zip(counts[u], counts[v]))
+            if b == c and r != s and 19 * apart <= sum(counts[u]) + sum(counts[v]):
+                want.add((b, u))
+    assert {(r["band"], r["node"]) for r in got.collect()} == want and 0 < len(want)
+
+
 def test_long_pairs_are_compared_alone():
     texts = pa.array(["a" * 10, "b" * 500, None, "c", "d" * 90])
     assert list(bounded([texts, texts], 100)) == [(0, 1), (1, 2), (2, 4), (4, 5)]
