@@ -49,7 +49,8 @@ def day_after(day: dt.date) -> Column:
     return F.lit(dt.datetime.combine(day + dt.timedelta(days=1), dt.time())).cast("timestamp_ntz")
 
 
-def hash_key(key: Column, seed: int, salt: str = "") -> Column:
+def hash_key(key: Column, seed: int, salt: str | Column = "") -> Column:
     """A uniform 60-bit integer that depends only on key, seed and salt, so any engine can reproduce it."""
-    text = F.concat_ws(":", key.cast("string"), F.lit(f"{seed}{salt}"))
+    end = F.concat(F.lit(str(seed)), salt) if isinstance(salt, Column) else F.lit(f"{seed}{salt}")
+    text = F.concat_ws(":", key.cast("string"), end)
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")

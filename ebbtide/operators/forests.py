@@ -1,27 +1,41 @@
-"""Random forest: grid search, final fit, out-of-bag error, importances."""
+"""Random forest: grid search, final fit, out-of-bag error, importances.
+
+A fitted forest answers for many smaller ones. Its first 100 or 300 trees are the forest that a fit with as many trees
+would give, and a tree with a limit on its leaves is the same tree cut back to its strongest splits. So the grid fits one
+forest for each combination of the other parameters and fold; the leaves of a row in all trees (`leafCol`) are looked up
+in a table of leaf shares, one for each limit, and running sums give the votes of each number of trees.
+
+The tables of leaf shares are as large as the fitted model, which Spark itself sends to every task that predicts.
+"""
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hash_key
 from ..functions.columns import HASH_BITS
 from ..params import ForestParams
+from ..session import materialise, new_path
 from .trees import need_bins
 
+LEAVES = "leaves"
 
-def forest(label: str = "churned", levels: int = 0, seed: int = 123, max_bins: int = 64) -> RandomForestClassifier:
+
+def forest(label: str = "churned", levels: int = 0, seed: int = 123, max_bins: int = 128) -> RandomForestClassifier:
     need_bins(max_bins, levels)
     return RandomForestClassifier(
-        featuresCol="features", labelCol=label, bootstrap=True, seed=seed, maxBins=max_bins
+        featuresCol="features", labelCol=label, bootstrap=True, seed=seed, maxBins=max_bins, leafCol=LEAVES,
     )
 
 
@@ -33,38 +47,150 @@ def _param_map(rf: RandomForestClassifier, p: ForestParams) -> dict:
 
 
 def fit_forest(prepared: DataFrame, params: ForestParams, label: str = "churned", levels: int = 0, seed: int = 123):
-    rf = forest(label, levels, seed)
+    rf = forest(label, levels, seed, params.max_bins)
     return rf.fit(prepared, _param_map(rf, params))
 
 
+class ForestNodes:
+    """The node tables of all trees of a fitted forest, as arrays over the nodes from the root down."""
+
+    def __init__(self, spark: SparkSession, model):
+        path = new_path(spark, "forest")
+        model.write().save(path)
+        n = F.col("nodeData")
+        saved = spark.read.parquet(f"{path}/data").select(
+            "treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"),
+            n["impurityStats"][0].alias("no"), n["impurityStats"][1].alias("yes"), n["gain"].alias("gain"))
+        table = saved.toPandas().sort_values(["treeID", "id"])  # as many rows as the model has nodes
+        self.trees = [{c: group[c].to_numpy() for c in ("left", "right", "no", "yes", "gain")}
+                      for _, group in table.groupby("treeID")]
+
+    def shares(self, max_leaves: int | None = None) -> list[np.ndarray]:
+        """For each tree the share of leavers of each leaf of the fitted model, after the limit on leaves."""
+        return [cut_shares(t, max_leaves) for t in self.trees]
+
+
+def cut_shares(tree: dict[str, np.ndarray], max_leaves: int | None) -> np.ndarray:
+    """Share of leavers of the node that answers for each leaf when only the strongest splits are kept.
+
+    Nodes are numbered from the root down, the left side first, so the leaves under a node are neighbours. Splits are
+    taken best first: of the nodes that can be split, the one whose split decreases the impurity of all rows most.
+    """
+    left, right, rows = tree["left"], tree["right"], tree["no"] + tree["yes"]
+    share = tree["yes"] / np.maximum(rows, 1e-300)
+    is_leaf = left < 0
+    number = np.cumsum(is_leaf) - 1  # of the leaf, or of the last leaf before a node
+    if max_leaves is None or is_leaf.sum() <= max_leaves:
+        return share[is_leaf]
+    kept, ready = {0}, [(-tree["gain"][0] * rows[0], 0)]
+    while ready and len(kept) < max_leaves:
+        _, at = heapq.heappop(ready)
+        kept.remove(at)
+        for child in (int(left[at]), int(right[at])):
+            kept.add(child)
+            if not is_leaf[child]:
+                heapq.heappush(ready, (-tree["gain"][child] * rows[child], child))
+    out = np.empty(int(is_leaf.sum()))
+    starts = sorted(kept)
+    first = [int(number[s - 1]) + 1 if s else 0 for s in starts]
+    for node, a, b in zip(starts, first, [*first[1:], len(out)]):
+        out[a:b] = share[node]
+    return out
+
+
+def _with_shares(rows: DataFrame, tables: dict[str, list[np.ndarray]]) -> DataFrame:
+    """Adds, for each name, the share of leavers of a row's leaf in each tree.
+
+    The shares are one row, as large as the model, that a join on a constant brings to every task.
+    """
+    schema = ", ".join(f"{name} array<array<double>>" for name in tables)
+    one = rows.sparkSession.createDataFrame([tuple([s.tolist() for s in t] for t in tables.values())], schema)
+    one = materialise(one, "shares").withColumn("always", F.lit(1))
+    joined = rows.withColumn("always", F.lit(1)).join(F.broadcast(one), "always").drop("always")
+    return joined.withColumns({name: F.zip_with(
+        LEAVES, name, lambda leaf, shares: F.element_at(shares, leaf.cast("int") + 1)) for name in tables})
+
+
+def mean_share(shares: Column, trees: int) -> Column:
+    return F.aggregate(F.slice(shares, 1, trees), F.lit(0.0), lambda s, x: s + x) / trees
+
+
+def _leaves_only(model, prepared: DataFrame, *keep: str) -> DataFrame:
+    quiet = model.copy()
+    for name in ("Prediction", "RawPrediction", "Probability"):
+        getattr(quiet, f"set{name}Col")("")
+    return quiet.transform(prepared).select(*keep, vector_to_array(LEAVES).alias(LEAVES))
+
+
+def nested_accuracy(model, held: DataFrame, wanted: list[ForestParams], label: str = "churned") -> list[float]:
+    """Accuracy on held-out rows of each smaller forest that a fitted one holds: one pass for all of them."""
+    spark = held.sparkSession
+    nodes = ForestNodes(spark, model)
+    limits = list(dict.fromkeys(p.max_leaves for p in wanted))
+    rows = _with_shares(
+        _leaves_only(model, held, label), {f"shares_{i}": nodes.shares(limit) for i, limit in enumerate(limits)})
+    right = [
+        F.avg(((mean_share(F.col(f"shares_{limits.index(p.max_leaves)}"), p.trees) > 0.5) == (
+            F.col(label) == 1)).cast("double")).alias(f"right_{i}")
+        for i, p in enumerate(wanted)
+    ]
+    return [float(x) if x is not None else math.nan for x in rows.agg(*right).first()]
+
+
+def grid_scores(
+    prepared: DataFrame, grid: list[ForestParams], folds: int, label: str = "churned", levels: int = 0,
+    seed: int = 123, parallelism: int = 4,
+) -> list[float]:
+    """Mean accuracy over the given folds of each combination, from one fit for all numbers of trees and leaf limits."""
+    families: dict[ForestParams, list[int]] = defaultdict(list)
+    for i, p in enumerate(grid):
+        families[replace(p, trees=0, max_leaves=None)].append(i)
+
+    def one_fit(job: tuple[ForestParams, int]) -> list[float]:
+        family, fold = job
+        members = [grid[i] for i in families[family]]
+        largest = replace(family, trees=max(p.trees for p in members))
+        model = fit_forest(prepared.filter(F.col("fold") != fold), largest, label, levels, seed)
+        return nested_accuracy(model, prepared.filter(F.col("fold") == fold), members, label)
+
+    jobs = [(family, fold) for family in families for fold in range(folds)]
+    totals = [0.0] * len(grid)
+    with ThreadPoolExecutor(parallelism) as pool:
+        for (family, _), scores in zip(jobs, pool.map(inheritable_thread_target(prepared.sparkSession)(one_fit), jobs)):
+            for i, score in zip(families[family], scores):
+                totals[i] += score / folds
+    return totals
+
+
 def grid_search(
     prepared: DataFrame, grid: list[ForestParams], folds: int, label: str = "churned", levels: int = 0,
     seed: int = 123, parallelism: int = 4,
 ):
-    """Mean accuracy over the given folds for each combination, and the best one refitted on all rows."""
-    rf = forest(label, levels, seed)
-    validator = CrossValidator(
-        estimator=rf,
-        estimatorParamMaps=[_param_map(rf, p) for p in grid],
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-        numFolds=folds, foldCol="fold", parallelism=parallelism,
-    ).fit(prepared)
-    scores = list(validator.avgMetrics)
+    """Mean accuracy of each combination, the first of the best, and that one fitted on all rows."""
+    scores = grid_scores(prepared, grid, folds, label, levels, seed, parallelism)
     best = grid[scores.index(max(scores))]
-    return scores, best, validator.bestModel
+    return scores, best, fit_forest(prepared, best, label, levels, seed)
 
 
 def grid_table(prepared: DataFrame, grid: list[ForestParams], scores: list[float]) -> DataFrame:
-    rows = [(p.mtry, p.trees, p.sample_rate, p.min_node, p.max_depth, float(s)) for p, s in zip(grid, scores)]
+    rows = [(p.mtry, p.trees, p.sample_rate, p.min_node, p.max_leaves, float(s)) for p, s in zip(grid, scores)]
     return prepared.sparkSession.createDataFrame(
-        rows, "mtry int, trees int, sample_rate double, min_node int, max_depth int, accuracy double"
-    ).orderBy(F.desc("accuracy"), "mtry", "trees", "sample_rate", "min_node", "max_depth")
+        rows, "mtry int, trees int, sample_rate double, min_node int, max_leaves int, accuracy double"
+    ).orderBy(F.desc("accuracy"), "mtry", "trees", "sample_rate", "min_node", "max_leaves")
 
 
-def with_probability(model, prepared: DataFrame, *keep: str) -> DataFrame:
+def with_probability(model, prepared: DataFrame, *keep: str, max_leaves: int | None = None) -> DataFrame:
     """Mean over the trees of the leaf's share of leavers."""
-    scored = model.transform(prepared)
-    return scored.select(*keep, vector_to_array("probability")[1].alias("probability"))
+    if max_leaves is None:
+        scored = model.transform(prepared)
+        return scored.select(*keep, vector_to_array("probability")[1].alias("probability"))
+    shares = ForestNodes(prepared.sparkSession, model).shares(max_leaves)
+    rows = _with_shares(_leaves_only(model, prepared, *keep), {"shares": shares})
+    return rows.select(*keep, mean_share(F.col("shares"), len(shares)).alias("probability"))
+
+
+def _uniform(key: Column, seed: int, tree: int | Column) -> Column:
+    return hash_key(key, seed, F.concat(F.lit(":bag"), F.lit(tree).cast("string"))) / F.lit(float(2**HASH_BITS))
 
 
 def poisson_weight(key: Column, seed: int, tree: int, most: int = 20) -> Column:
@@ -73,7 +199,7 @@ def poisson_weight(key: Column, seed: int, tree: int, most: int = 20) -> Column:
     Twenty draws or more have a probability below the resolution of the hash.
     Copies of a client share the draw, so a row is never out of a bag that holds its twin.
     """
-    u = hash_key(key, seed, f":bag{tree}") / F.lit(float(2**HASH_BITS))
+    u = _uniform(key, seed, tree)
     bounds, below = [], 0.0
     for k in range(most):
         below += math.exp(-1) / math.factorial(k)
@@ -84,38 +210,50 @@ def poisson_weight(key: Column, seed: int, tree: int, most: int = 20) -> Column:
     return drawn
 
 
+def merged_forest(models: list, features: int) -> RandomForestClassificationModel:
+    """One forest of the trees of several, in their order."""
+    spark = SparkSession.getActiveSession()
+    jvm = spark._jvm.org.apache.spark.ml.classification
+    trees = [t._java_obj for m in models for t in m.trees]
+    listed = spark.sparkContext._gateway.new_array(jvm.DecisionTreeClassificationModel, len(trees))
+    for i, t in enumerate(trees):
+        listed[i] = t
+    merged = RandomForestClassificationModel(jvm.RandomForestClassificationModel("merged", listed, features, 2))
+    return merged.setFeaturesCol("features").setLeafCol(LEAVES)
+
+
 def out_of_bag(
     prepared: DataFrame, params: ForestParams, trees: int = 10, label: str = "churned", key: str = "client_id",
-    levels: int = 0, seed: int = 123, max_bins: int = 64, parallelism: int = 4,
+    levels: int = 0, seed: int = 123, parallelism: int = 4,
 ) -> DataFrame:
     """Out-of-bag confusion and error: each row is voted on by the trees that did not draw it.
 
-    The votes of a row are columns of that row, so nothing is joined or regrouped.
+    The trees are fitted one by one with hashed draws and merged into one forest. Votes and draws of a row are two arrays
+    over the trees, so the plan does not grow with their number and nothing is joined or regrouped.
     """
-    need_bins(max_bins, levels)
+    need_bins(params.max_bins, levels)
+    spark = prepared.sparkSession
 
     def one_tree(b: int):
         weighted = prepared.withColumn("bag_weight", poisson_weight(F.col(key), seed, b)).filter("bag_weight > 0")
         return RandomForestClassifier(
             featuresCol="features", labelCol=label, weightCol="bag_weight", numTrees=1, bootstrap=False,
             featureSubsetStrategy=str(params.mtry), minInstancesPerNode=params.min_node, maxDepth=params.max_depth,
-            maxBins=max_bins, seed=seed + b, predictionCol=f"vote_{b}", rawPredictionCol=f"raw_{b}",
-            probabilityCol=f"probability_{b}",
+            maxBins=params.max_bins, seed=seed + b,
         ).fit(weighted)
 
     with ThreadPoolExecutor(parallelism) as pool:  # the trees' jobs run side by side
-        models = list(pool.map(one_tree, range(trees)))
-    votes = prepared
-    for b, model in enumerate(models):
-        outside = poisson_weight(F.col(key), seed, b) == 0
-        votes = model.transform(votes).drop(f"raw_{b}", f"probability_{b}")
-        votes = votes.withColumn(f"vote_{b}", F.when(outside, F.col(f"vote_{b}")))
-    names = [f"vote_{b}" for b in range(trees)]
-    yes = sum((F.coalesce(F.col(v), F.lit(0.0)) for v in names), F.lit(0.0))
-    voters = sum((F.col(v).isNotNull().cast("int") for v in names), F.lit(0))
-    judged = votes.select(label, voters.alias("voters"), yes.alias("yes")).filter("voters > 0")
+        models = list(pool.map(inheritable_thread_target(spark)(one_tree), range(trees)))
+    merged = merged_forest(models, models[0].numFeatures)
+    shares = ForestNodes(spark, merged).shares(params.max_leaves)
+    rows = _with_shares(_leaves_only(merged, prepared, label, key), {"shares": shares})
+    outside = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda b: _uniform(F.col(key), seed, b) < math.exp(-1))
+    votes = F.zip_with("shares", outside, lambda share, out: F.when(out, (share > 0.5).cast("int")))
+    votes = F.filter(votes, lambda v: v.isNotNull())
+    judged = rows.select(label, votes.alias("votes")).select(
+        label, F.size("votes").alias("voters"), F.aggregate("votes", F.lit(0), lambda s, v: s + v).alias("yes"))
     predicted = F.col("yes") > F.col("voters") / 2
-    cells = judged.agg(
+    cells = judged.filter("voters > 0").agg(
         F.count_if(predicted & (F.col(label) == 1)).alias("tp"),
         F.count_if(predicted & (F.col(label) == 0)).alias("fp"),
         F.count_if(~predicted & (F.col(label) == 1)).alias("fn"),

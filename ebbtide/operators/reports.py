@@ -77,6 +77,24 @@ def table_summary(df: DataFrame, columns: list[str], reuse: bool = True) -> Data
     return moments.join(quantiles, "column", "left")
 
 
+def text_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, missing values, distinct values and the most frequent value (the first of equals) of each text column.
+
+    Values are counted once for all columns, so what is shuffled is one row for each value of a task.
+    """
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(pairs.alias("p")).select("p.*").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("value").isNotNull()
+    best = F.min(F.when(known, F.struct((-F.col("n")).alias("less"), F.col("value").alias("value")))).alias("best")
+    found = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("present"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing"),
+        F.count_if(known).alias("levels"), best)
+    return found.select("column", "present", "missing", "levels", F.col("best.value").alias("top"),
+                        (-F.col("best.less")).alias("top_rows"))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> list[list[float]]:
     """Pearson correlation over complete rows: a distributed pass, a columns x columns result."""
     casted = df.select(*[F.col(c).cast("double").alias(c) for c in columns])

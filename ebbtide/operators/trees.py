@@ -1,9 +1,11 @@
 """Decision tree with cost-complexity pruning.
 
 Spark grows the tree. Pruning, its cross-validation, rules and importances work on the node table of the fitted
-model, whose size the smallest allowed leaf bounds: with leaves of at least cp/2 of the rows there are at most
-2/cp of them, whatever the data. A regression tree on the 0/1 label splits by p(1-p), which is Gini halved, and
-keeps sibling leaves of equal class apart, so leaf probabilities stay sharp.
+model. A node with fewer than `min_split` rows is a leaf: where Spark has split one, the table takes the split back,
+which is the tree that would have been grown without it, since splits of other nodes do not depend on it. The pruned
+tree is a column expression over the features (at most `max_leaves` leaves), so scoring needs neither the large tree nor
+a join. A regression tree on the 0/1 label splits by p(1-p), which is Gini halved, and keeps sibling leaves of equal
+class apart, so leaf probabilities stay sharp.
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ import bisect
 import heapq
 import math
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import TreeParams
@@ -39,6 +41,7 @@ class Node:
     categories: int
     parent: int = -1
     leaf: int = -1
+    last_leaf: int = -1
     collapse: float = math.inf
 
     @property
@@ -107,7 +110,7 @@ def fit_tree(
 ):
     """Grow the large tree on vectors `features`; `levels` is the largest number of category levels.
 
-    The smallest leaf is `min_bucket` whatever the number of rows; depth 30 and `min_bucket` bound the node table.
+    The smallest leaf is `min_bucket` whatever the number of rows; `node_table` applies `min_split`.
     """
     need_bins(params.max_bins, levels)
     options = dict(
@@ -119,8 +122,12 @@ def fit_tree(
     return DecisionTreeRegressor(**options).fit(prepared)
 
 
-def node_table(spark: SparkSession, model) -> dict[int, Node]:
-    """The fitted tree's nodes, read from its saved form; leaves are numbered from left to right as in `leafCol`."""
+def node_table(spark: SparkSession, model, min_split: int = 0) -> dict[int, Node]:
+    """The fitted tree's nodes, read from its saved form, without splits of nodes with fewer than `min_split` rows.
+
+    `leaf` and `last_leaf` are the leaves of the fitted model (numbered from left to right, as in `leafCol`) that a leaf
+    of the table stands for.
+    """
     path = new_path(spark, "tree")
     model.write().save(path)
     saved = spark.read.parquet(f"{path}/data")
@@ -133,14 +140,33 @@ def node_table(spark: SparkSession, model) -> dict[int, Node]:
             r["id"], r["leftChild"], r["rightChild"], rows, positives, r["gain"], s["featureIndex"],
             list(s["leftCategoriesOrThreshold"]), s["numCategories"],
         )
+    return without_small_splits(nodes, min_split)
+
+
+def without_small_splits(nodes: dict[int, Node], min_split: int) -> dict[int, Node]:
+    """Number the leaves, link parents, and turn each node with fewer than `min_split` rows into a leaf."""
     leaf = 0
-    for i in sorted(nodes):
+    for i in sorted(nodes):  # numbered from the root down, the left side first
         node = nodes[i]
         if node.inner:
             nodes[node.left].parent = nodes[node.right].parent = i
         else:
-            node.leaf, leaf = leaf, leaf + 1
-    return nodes
+            node.leaf = node.last_leaf = leaf
+            leaf += 1
+    for i in sorted(nodes, reverse=True):
+        node = nodes[i]
+        if node.inner:
+            node.leaf, node.last_leaf = nodes[node.left].leaf, nodes[node.right].last_leaf
+    kept, queue = {}, [0]
+    while queue:
+        i = queue.pop()
+        node = kept[i] = nodes[i]
+        if node.inner and node.rows < min_split:
+            node.left = node.right = -1
+        if node.inner:
+            node.leaf = node.last_leaf = -1
+            queue += [node.right, node.left]
+    return kept
 
 
 def weakest_links(nodes: dict[int, Node], cp: float) -> Tree:
@@ -217,7 +243,7 @@ def fold_errors(tree: Tree, leaf_counts: list[tuple[int, int, int]], cps: list[f
     """
     ascending = sorted(cps)
     steps, total = [0.0] * (len(ascending) + 1), 0
-    by_leaf = {n.leaf: n for n in tree.nodes.values() if not n.inner}
+    by_leaf = {k: n for n in tree.nodes.values() if not n.inner for k in range(n.leaf, n.last_leaf + 1)}
     for leaf, positives, negatives in leaf_counts:
         total += positives + negatives
         upper = math.inf
@@ -250,7 +276,7 @@ def cross_validate(
         model = fit_tree(
             prepared.filter(F.col("fold") != k), params, levels, label, seed=seed
         )
-        tree = weakest_links(node_table(spark, model), 0.0)
+        tree = weakest_links(node_table(spark, model, params.min_split), 0.0)
         counts = (
             model.transform(prepared.filter(F.col("fold") == k))
             .groupBy(LEAF)
@@ -270,24 +296,80 @@ def cross_validate(
     return table
 
 
-def leaf_map(spark: SparkSession, tree: Tree, cp: float) -> DataFrame:
-    """Leaf of the large tree -> node and probability of the pruned one."""
-    rows = []
-    for node in tree.leaves_at(cp):
-        queue = [node]
-        while queue:
-            n = queue.pop()
-            if n.inner:
-                queue += [tree.nodes[n.left], tree.nodes[n.right]]
-            else:
-                rows.append((float(n.leaf), node.id, float(node.probability)))
-    return spark.createDataFrame(rows, f"{LEAF} double, node int, probability double")
+@dataclass
+class PrunedNode:
+    """A node of a pruned tree with the names of the table it is applied to; a leaf has no column.
+
+    A number goes left up to `cut`; categories go to the side that lists them, and `others_left` says where unknown and
+    missing ones go.
+    """
+
+    node: int
+    left: int
+    right: int
+    column: str | None
+    cut: float | None
+    left_values: list[str] | None
+    right_values: list[str] | None
+    others_left: bool
+    probability: float
+
+
+PRUNED_SCHEMA = (
+    "node int, left int, right int, column string, cut double, left_values array<string>, "
+    "right_values array<string>, others_left boolean, probability double"
+)
+
+
+def pruned_nodes(tree: Tree, cp: float, names: list[str], levels: dict[str, list[str]]) -> list[PrunedNode]:
+    """The nodes that survive pruning at `cp`, from the root down."""
+    found = []
+    splits = {n.id for n in tree.splits_at(cp)}
+    for n in sorted([*tree.splits_at(cp), *tree.leaves_at(cp)], key=lambda n: n.id):
+        if n.id not in splits:
+            found.append(PrunedNode(n.id, -1, -1, None, None, None, None, False, float(n.probability)))
+        elif n.categories < 0:
+            found.append(PrunedNode(n.id, n.left, n.right, names[n.feature], float(n.cuts[0]), None, None,
+                                    False, float(n.probability)))
+        else:
+            known, left = levels[names[n.feature]], {int(c) for c in n.cuts}
+            sides = [[v for i, v in enumerate(known) if (i in left) == side] for side in (True, False)]
+            found.append(PrunedNode(n.id, n.left, n.right, names[n.feature], None, *sides, len(known) in left,
+                                    float(n.probability)))
+    return found
+
+
+def pruned_from_rows(rows: list[Row]) -> list[PrunedNode]:
+    return [PrunedNode(*(r[f.name] for f in fields(PrunedNode))) for r in sorted(rows, key=lambda r: r["node"])]
+
+
+def leaf_column(pruned: list[PrunedNode], suffix: str = "_index") -> Column:
+    """The leaf of a row as struct(node, probability): nested conditions over the table's own columns.
+
+    A missing number goes right; the plans fill numbers before this.
+    """
+    by_id = {n.node: n for n in pruned}
+
+    def below(n: PrunedNode) -> Column:
+        if n.column is None:
+            return F.struct(F.lit(n.node).alias("node"), F.lit(n.probability).alias("probability"))
+        if n.cut is not None:
+            left = F.col(n.column).cast("double") <= F.lit(n.cut)
+        else:
+            column = F.col(n.column.removesuffix(suffix))
+            listed = n.right_values if n.others_left else n.left_values
+            there = F.coalesce(column.isin(listed), F.lit(False)) if listed else F.lit(False)
+            left = ~there if n.others_left else there
+        return F.when(left, below(by_id[n.left])).otherwise(below(by_id[n.right]))
+
+    return below(pruned[0])
 
 
-def predict_tree(with_leaves: DataFrame, leaves: DataFrame, *keep: str) -> DataFrame:
-    """Probability of the pruned leaf and its class; an even leaf stays. The map has at most 2/cp rows."""
-    joined = with_leaves.join(F.broadcast(leaves), LEAF)
-    return joined.select(*keep, "node", "probability", (F.col("probability") > 0.5).cast("int").alias("predicted"))
+def predict_tree(df: DataFrame, pruned: list[PrunedNode], *keep: str) -> DataFrame:
+    """Node, probability and class of each row; an even leaf stays. A projection: nothing is joined or shuffled."""
+    placed = df.select(*keep, leaf_column(pruned).alias("leaf"))
+    return placed.select(
+        *keep, "leaf.node", "leaf.probability", (F.col("leaf.probability") > 0.5).cast("int").alias("predicted"))
 
 
 def _condition(node: Node, went_left: bool, names: list[str], levels: dict[str, list[str]]) -> str:

@@ -29,6 +29,7 @@ class Study:
 @dataclass(frozen=True)
 class TreeParams:
     cp: float = 1e-4
+    min_split: int = 15
     min_bucket: int = 7
     max_depth: int = 30
     max_bins: int = 128
@@ -37,17 +38,15 @@ class TreeParams:
 
 @dataclass(frozen=True)
 class ForestParams:
-    """One forest. `max_depth` stands in for a limit on the leaves of each tree."""
+    """One forest; `max_leaves` limits the leaves of each tree (None: no limit), depth 30 is the deepest Spark grows."""
 
     mtry: int = 6
     trees: int = 100
     sample_rate: float = 1.0
     min_node: int = 1
+    max_leaves: int | None = None
     max_depth: int = 30
-
-
-# Leaves allowed per tree -> depth that holds about as many; None is no limit (30 is the deepest that Spark grows).
-LEAF_LIMIT_DEPTH = {None: 30, 50: 6, 100: 7}
+    max_bins: int = 128
 
 
 def forest_grid(
@@ -61,7 +60,7 @@ def forest_grid(
     middle = round(n_features**0.5)
     tries = sorted({max(1, middle - 2), middle, min(n_features, middle + 2)})
     return [
-        ForestParams(m, t, r, s, LEAF_LIMIT_DEPTH[limit])
+        ForestParams(m, t, r, s, limit)
         for limit in leaf_limits for s in min_nodes for r in rates for t in trees for m in tries
     ]
 

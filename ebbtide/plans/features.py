@@ -55,14 +55,14 @@ def fill_rules(raw: DataFrame, study: Study) -> DataFrame:
 def training_features(
     raw_sales: DataFrame, raw_accounts: DataFrame, study: Study, dedup: str = "before"
 ) -> tuple[DataFrame, dict[str, float]]:
-    """The labelled feature table and the medians that filled it.
+    """The labelled feature table and the medians that filled it: those of columns that lack a value.
 
     The table is written before the medians are fitted on it, so the sales are read once.
     """
     sales = clean_sales(raw_sales, until=study.last_look_ahead())
     filled = fill_rules(raw_features(sales, clean_accounts(raw_accounts), study, dedup=dedup), study)
     filled = materialise(filled, "features")
-    medians = fit_medians(filled, every=True)  # also of columns that are complete here: today's cohort may lack them
+    medians = fit_medians(filled)
     return fill_medians(filled, medians), medians
 
 

@@ -6,7 +6,7 @@ nodes or parameter combinations, never by clients.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,7 @@ from ..operators.encoding import (
     CATEGORIES, dummy_columns, fit_levels, flags_to_numbers, linear_inputs, tree_inputs,
 )
 from ..operators.cleaning import category_levels
+from ..operators.imputing import fit_medians, numeric_columns
 from ..params import ForestParams, Settings, Study
 from ..session import materialise
 from ..sources.sinks import save_bundle, write_metrics
@@ -40,6 +41,12 @@ class TrainingData:
     balanced: DataFrame
     test: DataFrame
     rows: int
+    whole: DataFrame
+
+    def all_medians(self) -> dict[str, float]:
+        """Also of columns that are complete here, as today's cohort may lack them."""
+        rest = [c for c in numeric_columns(self.whole) if c not in self.medians]
+        return fit_medians(self.whole, rest, every=True) | self.medians
 
     @property
     def numeric(self) -> list[str]:
@@ -65,7 +72,7 @@ def split_and_balance(table: DataFrame, study: Study, medians: dict[str, float],
         folded = materialise(sampling.stratified_folds(train, study.seed, study.folds), "train")
         balanced = sampling.oversample(folded, study.seed)
     balanced = materialise(balanced, "balanced")
-    return TrainingData(spark, study, medians, folded, balanced, test, balanced.count())
+    return TrainingData(spark, study, medians, folded, balanced, test, balanced.count(), table)
 
 
 def prepare(raw_sales: DataFrame, raw_accounts: DataFrame, study: Study, leak: bool = False) -> TrainingData:
@@ -111,7 +118,7 @@ class TreeResult:
     cp_cv: float
     cp_limit: float
     cp: float
-    leaves: DataFrame
+    pruned: list[trees.PrunedNode]
     test: DataFrame
 
     def pipeline(self) -> PipelineModel:
@@ -120,7 +127,7 @@ class TreeResult:
 
 def grow_tree(data: TrainingData, inputs: TreeInputs, settings: Settings):
     model = trees.fit_tree(inputs.train, settings.tree, inputs.most_levels, LABEL, seed=data.study.seed)
-    return model, trees.weakest_links(trees.node_table(data.spark, model), settings.tree.cp)
+    return model, trees.weakest_links(trees.node_table(data.spark, model, settings.tree.min_split), settings.tree.cp)
 
 
 def train_tree(data: TrainingData, inputs: TreeInputs, settings: Settings) -> TreeResult:
@@ -134,12 +141,10 @@ def train_tree(data: TrainingData, inputs: TreeInputs, settings: Settings) -> Tr
     cp_cv = min(cv, key=lambda r: r["mean_error"])["cp"]  # the first of equals: the smaller tree
     cp_limit = trees.leaf_limit_cp(tree.path, settings.tree.max_leaves)
     cp = max(cp_cv, cp_limit)
-    leaves = trees.leaf_map(data.spark, tree, cp)
-    scored = trees.predict_tree(
-        model.transform(inputs.test), leaves, "client_id", LABEL
-    ).withColumnRenamed("probability", "score")
+    pruned = trees.pruned_nodes(tree, cp, inputs.names, inputs.levels)
+    scored = trees.predict_tree(data.test, pruned, "client_id", LABEL).withColumnRenamed("probability", "score")
     return TreeResult(
-        inputs, model, tree, cv, cp_cv, cp_limit, cp, leaves, materialise(scored, "tree-test")
+        inputs, model, tree, cv, cp_cv, cp_limit, cp, pruned, materialise(scored, "tree-test")
     )
 
 
@@ -162,7 +167,7 @@ def train_forest(data: TrainingData, inputs: TreeInputs, settings: Settings) ->
     else:
         best, scores = grid[0], []
         model = forests.fit_forest(inputs.train, best, LABEL, inputs.most_levels, data.study.seed)
-    scored = forests.with_probability(model, inputs.test, "client_id", LABEL)
+    scored = forests.with_probability(model, inputs.test, "client_id", LABEL, max_leaves=best.max_leaves)
     return ForestResult(
         inputs, grid, scores, best, model,
         materialise(scored.withColumnRenamed("probability", "score"), "forest-test"),
@@ -315,18 +320,23 @@ def train_all(data: TrainingData, settings: Settings) -> Trained:
 
 
 def save_all(trained: Trained, folder: str) -> dict[str, str]:
-    """Three bundles, the metrics file and the executive summary."""
+    """Three bundles that score alone, the metrics file and the executive summary.
+
+    Each bundle holds the training medians and what its model needs besides itself: the pruned tree's nodes, the forest's
+    limit on leaves, the levels of the logistic model's dummies, and the thresholds.
+    """
     spark, seed = trained.data.spark, trained.data.study.seed
     levels = [STAYED, LEFT]
     tree, forest, logit = trained.tree, trained.forest, trained.logistic
     paths = {name: f"{folder}/{name}" for name in ("tree", "forest", "logistic", "metrics", "summary")}
     path_rows = [(float(r["cp"]), int(r["splits"]), float(r["rel_error"])) for r in tree.tree.path]
+    medians = spark.createDataFrame(sorted(trained.data.all_medians().items()), "column string, value double")
     save_bundle(
         spark, paths["tree"], "tree", tree.pipeline(), tree.inputs.names, LABEL, levels,
-        {"auc": trained.aucs["tree"], "cp": tree.cp}, seed,
+        {"auc": trained.aucs["tree"], "cp": tree.cp, "threshold": 0.5}, seed,
         {
-            "leaves": tree.leaves,
-            "medians": spark.createDataFrame(sorted(trained.data.medians.items()), "column string, value double"),
+            "nodes": spark.createDataFrame([astuple(n) for n in tree.pruned], trees.PRUNED_SCHEMA),
+            "medians": medians,
             "cp_path": spark.createDataFrame(path_rows, "cp double, splits int, rel_error double"),
         },
         {"split": "gini"},
@@ -335,13 +345,20 @@ def save_all(trained: Trained, folder: str) -> dict[str, str]:
         spark, paths["forest"], "forest", PipelineModel([*forest.inputs.pipeline.stages, forest.model]),
         forest.inputs.names, LABEL, levels,
         {"auc": trained.aucs["forest"], "threshold": trained.thresholds["forest"]}, seed,
-        {"grid": forests.grid_table(trained.data.train, forest.grid, forest.scores or [float("nan")])},
-        {"best": str(forest.best)},
+        {
+            "grid": forests.grid_table(trained.data.train, forest.grid, forest.scores or [float("nan")]),
+            "medians": medians,
+        },
+        {"best": str(forest.best), "max_leaves": str(forest.best.max_leaves or "")},
     )
+    known = [(c, i, v) for c, names in logit.selection.levels.items() for i, v in enumerate(names)]
     save_bundle(
         spark, paths["logistic"], "logistic", logit.whole_pipeline(), logit.selection.final, LABEL, levels,
         {"auc": trained.aucs["logistic"], "threshold": trained.thresholds["logistic"]}, seed,
-        {"coefficients": logit.wald},
+        {
+            "coefficients": logit.wald, "medians": medians,
+            "levels": spark.createDataFrame(known, "column string, level_index int, level string"),
+        },
     )
     metrics = trained.metrics()
     write_metrics(metrics.drop("place"), paths["metrics"])

@@ -425,6 +425,13 @@ WHERE l_returnflag <> 'R' AND o_orderstatus <> 'P'""",
         "accounts_star_join": """SELECT DISTINCT o_custkey AS client_id, n_name AS province, c_mktsegment AS account_type, n_regionkey AS sector
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
         "table_summary": summary_sql(sparse + ", f AS MATERIALIZED (SELECT * FROM features)", "f", NUMERIC, 4),
+        "text_summary": f"""WITH {sparse}, v AS (SELECT 'province' AS "column", province AS value FROM features
+            UNION ALL SELECT 'account_type', account_type FROM features),
+            k AS (SELECT "column", value, count(*) AS n FROM v GROUP BY ALL)
+            SELECT "column", CAST(COALESCE(sum(n) FILTER (value IS NOT NULL), 0) AS BIGINT) AS present,
+            CAST(COALESCE(sum(n) FILTER (value IS NULL), 0) AS BIGINT) AS missing, count(value) AS levels,
+            first(value ORDER BY n DESC, value) FILTER (value IS NOT NULL) AS top,
+            max(n) FILTER (value IS NOT NULL) AS top_rows FROM k GROUP BY "column" """,
         "clean_sales": f"WITH {sales} SELECT {sale} FROM sales",
         "clean_accounts": f"WITH {ACCOUNTS} SELECT * FROM accounts",
         "definition_window": f"WITH {sales} SELECT {sale} FROM sales WHERE sale_date BETWEEN {day(SPARSE.definition_start)} AND {cut}",

@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, DoubleType, TimestampNTZType
 
 from ebbtide.operators import cleaning, comparison, definitions, encoding, evaluation, forests, history, imputing
 from ebbtide.operators import logistic, monthly, reports, sampling, screening, trees, value
-from ebbtide.params import ForestParams, LogisticParams, Settings, Study, ValueParams
+from ebbtide.params import LogisticParams, Settings, Study, ValueParams, forest_grid
 from ebbtide.plans import features as plan
 from ebbtide.plans import scoring, training
 from ebbtide.session import materialise
@@ -184,6 +184,7 @@ def sql_queries() -> dict[str, Query]:
         "sales_star_join": lambda s, d: sample.star_sales(s, d),
         "accounts_star_join": lambda s, d: sample.star_accounts(s, d),
         "table_summary": lambda s, d: tidy(_summary(feature_table(s, d)), 4),
+        "text_summary": with_table(lambda t: reports.text_summary(t, encoding.CATEGORIES)),
         "clean_sales": lambda s, d: cleaning.clean_sales(raw_sales(s, d, SPARSE)),
         "clean_accounts": lambda s, d: accounts(s, d),
         "definition_window": lambda s, d: cleaning.between_days(
@@ -271,11 +272,12 @@ def sql_queries() -> dict[str, Query]:
     }
 
 
-# Grids of the registered fits; `forest_grid` builds the whole one.
+# The registered fits: all penalties and steps, and the part of `forest_grid` with 100 trees on all rows, to purity and
+# with both limits on leaves (9 of 324 combinations, from 15 fits).
 FITS = Settings(
     study=SPARSE,
-    forests=(ForestParams(4, 20, max_depth=6), ForestParams(6, 20, max_depth=6)),
-    logistic=LogisticParams(lambdas=6, max_iter=40),
+    forests=tuple(forest_grid(33, trees=(100,), rates=(1.0,), min_nodes=(1,))),
+    logistic=LogisticParams(),
 )
 _stages: dict[tuple[str, str, str], object] = {}
 
@@ -325,7 +327,7 @@ def tree_fit(spark: SparkSession, folder: str) -> DataFrame:
 def tree_fit_entropy(spark: SparkSession, folder: str) -> DataFrame:
     inputs = stage("vectors", spark, folder)
     model = trees.fit_tree(inputs.train, FITS.tree, inputs.most_levels, entropy=True)
-    tree = trees.weakest_links(trees.node_table(spark, model), FITS.tree.cp)
+    tree = trees.weakest_links(trees.node_table(spark, model, FITS.tree.min_split), FITS.tree.cp)
     return records(spark, tree.path, "cp double, splits int, leaves int, rel_error double")
 
 
@@ -439,8 +441,8 @@ def lr_predict(spark: SparkSession, folder: str) -> DataFrame:
 def score_clients(spark: SparkSession, folder: str) -> DataFrame:
     data, tree = stage("data", spark, folder), stage("tree", spark, folder)
     clients = scoring.score_clients(
-        sample.order_sales(spark, folder), sample.customer_accounts(spark, folder), SPARSE, tree.pipeline(),
-        tree.leaves, data.medians)
+        sample.order_sales(spark, folder), sample.customer_accounts(spark, folder), SPARSE,
+        lambda features: scoring.score_with_tree(features, tree.pruned), data.all_medians())
     return value.expected_loss(clients, FITS.value)
 
 

@@ -1,9 +1,13 @@
 """Models on a planted signal; pruning and inflation against direct computation."""
 
+import dataclasses
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ebbtide.operators import evaluation, forests, logistic, sampling, screening, trees
@@ -41,7 +45,7 @@ def vectors(planted):
 def grown(spark, vectors):
     params = TreeParams(max_depth=8)
     model = trees.fit_tree(vectors, params, 4)
-    return model, trees.weakest_links(trees.node_table(spark, model), params.cp), params
+    return model, trees.weakest_links(trees.node_table(spark, model, params.min_split), params.cp), params
 
 
 def test_nodes_add_up(grown):
@@ -50,7 +54,7 @@ def test_nodes_add_up(grown):
         if n.inner:
             left, right = tree.nodes[n.left], tree.nodes[n.right]
             assert n.rows == left.rows + right.rows and n.positives == left.positives + right.positives
-            assert min(left.rows, right.rows) >= 7
+            assert min(left.rows, right.rows) >= 7 and n.rows >= 15
             assert n.collapse >= max(left.collapse if left.inner else 0, right.collapse if right.inner else 0)
 
 
@@ -93,27 +97,89 @@ def test_complexity_path_matches_step_by_step_pruning(grown):
         assert g[1] == e[1] and g[0] == pytest.approx(e[0]) and g[2] == pytest.approx(e[2])
 
 
-def test_pruned_predictions(spark, vectors, grown):
-    model, tree, _ = grown
-    cp = trees.leaf_limit_cp(tree.path, 6)
-    assert len(tree.leaves_at(cp)) <= 6
-    scored = trees.predict_tree(model.transform(vectors), trees.leaf_map(spark, tree, cp), "client_id", "churned")
-    assert scored.count() == 1500
-    seen = {r[0]: r[1:] for r in scored.groupBy("node").agg(F.count("*"), F.sum("churned"), F.max("probability")).collect()}
-    for leaf in tree.leaves_at(cp):
-        rows, positives, probability = seen[leaf.id]
-        assert (rows, positives) == (leaf.rows, leaf.positives) and probability == pytest.approx(leaf.probability)
+def leaf_map(spark, tree, cp):
+    """Leaf of the fitted model -> node and probability of the pruned tree."""
+    rows = []
+    for node in tree.leaves_at(cp):
+        queue = [node]
+        while queue:
+            n = queue.pop()
+            queue += [tree.nodes[n.left], tree.nodes[n.right]] if n.inner else []
+            rows += [] if n.inner else [(float(k), node.id, float(node.probability)) for k in range(n.leaf, n.last_leaf + 1)]
+    return spark.createDataFrame(rows, "leaf double, node int, probability double")
+
+
+NAMES, LEVELS = ["a", "b", "c", "group_index"], {"group_index": ["g0", "g1", "g2"]}
 
 
-def test_fold_errors_match_predictions(spark, vectors, grown):
+def test_pruned_predictions(spark, planted, vectors, grown):
+    model, tree, _ = grown
+    for cp in (trees.leaf_limit_cp(tree.path, 6), tree.path[-1]["cp"]):
+        pruned = trees.pruned_nodes(tree, cp, NAMES, LEVELS)
+        scored = trees.predict_tree(planted, pruned, "client_id", "churned")
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
+        want = model.transform(vectors).join(leaf_map(spark, tree, cp), "leaf")
+        both = scored.select("client_id", "node").join(want.select("client_id", F.col("node").alias("wanted")), "client_id")
+        assert both.where("node = wanted").count() == 1500
+        seen = {r[0]: r[1:] for r in scored.groupBy("node").agg(
+            F.count("*"), F.sum("churned"), F.max("probability")).collect()}
+        for leaf in tree.leaves_at(cp):
+            rows, positives, probability = seen[leaf.id]
+            assert (rows, positives) == (leaf.rows, leaf.positives) and probability == pytest.approx(leaf.probability)
+        saved = spark.createDataFrame([dataclasses.astuple(n) for n in pruned], trees.PRUNED_SCHEMA)
+        assert trees.pruned_from_rows(saved.collect()) == pruned
+
+
+def test_unknown_categories_and_missing_numbers_go_as_in_the_fitted_model(spark, planted, vectors, grown):
+    model, tree, _ = grown
+    pipeline = tree_inputs(["a", "b", "c"], ["group"]).fit(planted)
+    odd = spark.createDataFrame([(k, x / 7, 1 - x / 7, 0.5, g) for k, (x, g) in enumerate(
+        (x, g) for x in range(8) for g in ("g0", "g1", "g2", "new", None))],
+        "client_id long, a double, b double, c double, group string")
+    scored = trees.predict_tree(odd, trees.pruned_nodes(tree, 0.0, NAMES, LEVELS), "client_id")
+    want = model.transform(pipeline.transform(odd)).join(leaf_map(spark, tree, 0.0), "leaf")
+    both = scored.select("client_id", "node").join(want.select("client_id", F.col("node").alias("wanted")), "client_id")
+    assert both.count() == 40 and both.where("node != wanted").count() == 0
+
+
+def test_nodes_below_the_smallest_split_stay_leaves(spark):
+    """14 rows of two classes, split 7 to 7 by Spark, are one leaf; with 15 the split stays."""
+    for n, leaves in ((14, 1), (15, 2)):
+        rows = [(Vectors.dense([float(k)]), int(k >= 7)) for k in range(n)]
+        table = spark.createDataFrame(rows, ["features", "churned"])
+        model = trees.fit_tree(table, TreeParams())
+        assert model.numNodes == 3
+        tree = trees.weakest_links(trees.node_table(spark, model, 15), 0.0)
+        assert len(tree.leaves_at(0.0)) == leaves
+        assert (tree.root.leaf, tree.root.last_leaf) == ((0, 1) if leaves == 1 else (-1, -1))
+        # as one leaf (7 of 14 left) everyone is taken to stay; split, each side has its own class
+        wrong = trees.fold_errors(tree, [(0, 3, 1), (1, 1, 5)], [0.0])[0]
+        assert wrong == pytest.approx(4 / 10 if leaves == 1 else (3 + 5) / 10)
+
+
+def test_small_nodes_inside_a_tree(grown, spark, vectors):
+    """Taking splits back leaves the rest of the tree as it was, and the leaves of the model are all answered for."""
+    model, _, params = grown
+    every = trees.node_table(spark, model)
+    limited = trees.node_table(spark, model, 60)
+    assert all(n.rows >= 60 for n in limited.values() if n.inner)
+    assert {i for i, n in every.items() if n.inner and n.rows >= 60} == {i for i, n in limited.items() if n.inner}
+    covered = sorted(k for n in limited.values() if not n.inner for k in range(n.leaf, n.last_leaf + 1))
+    assert covered == list(range(sum(not n.inner for n in every.values())))
+    tree = trees.weakest_links(limited, 1e-4)
+    assert [r["leaves"] for r in tree.path[:-1]] == [r[1] for r in slow_path(tree) if r[0] > tree.cp]
+
+
+def test_fold_errors_match_predictions(spark, planted, vectors, grown):
     model, tree, _ = grown
     held = vectors.filter("fold = 0")
-    transformed = materialise(model.transform(held).select("leaf", "client_id", "churned"), "held")
-    counts = transformed.groupBy("leaf").agg(F.sum("churned"), F.sum(1 - F.col("churned"))).collect()
+    counts = model.transform(held).groupBy("leaf").agg(F.sum("churned"), F.sum(1 - F.col("churned"))).collect()
     cps = [r["cp"] for r in tree.path]
     got = trees.fold_errors(tree, [(int(r[0]), r[1], r[2]) for r in counts], cps)
     for cp, error in list(zip(cps, got))[::3]:
-        scored = trees.predict_tree(transformed, trees.leaf_map(spark, tree, cp), "churned")
+        pruned = trees.pruned_nodes(tree, cp, NAMES, LEVELS)
+        scored = trees.predict_tree(planted.filter("fold = 0"), pruned, "churned")
         assert error == pytest.approx(scored.agg(F.avg((F.col("predicted") != F.col("churned")).cast("int"))).first()[0])
 
 
@@ -134,11 +200,67 @@ def test_importance_finds_the_drivers(grown, vectors):
     assert {v for v, _ in trees.importance(tree, 0.01, ["a", "b", "c", "group"])[:2]} == {"a", "b"}
 
 
+@pytest.fixture(scope="module")
+def forest_model(vectors):
+    return forests.fit_forest(vectors.filter("fold != 0"), ForestParams(2, 12, max_depth=7), levels=4)
+
+
+def plain_cut(tree, most):
+    """Best-first splits one by one; returns {leaf of the whole tree: share}."""
+    rows = lambda i: tree["no"][i] + tree["yes"][i]
+    kept = [0]
+    while len(kept) < most:
+        open_ = [i for i in kept if tree["left"][i] >= 0]
+        if not open_:
+            break
+        best = max(open_, key=lambda i: (tree["gain"][i] * rows(i), -i))
+        kept.remove(best)
+        kept += [int(tree["left"][best]), int(tree["right"][best])]
+    answer = {}
+    for node in kept:
+        stack = [node]
+        while stack:
+            i = stack.pop()
+            if tree["left"][i] >= 0:
+                stack += [int(tree["left"][i]), int(tree["right"][i])]
+            else:
+                answer[i] = tree["yes"][node] / rows(node)
+    leaves = [i for i in range(len(tree["left"])) if tree["left"][i] < 0]
+    return [answer[i] for i in leaves], len(kept)
+
+
+def test_limit_on_leaves(spark, forest_model):
+    nodes = forests.ForestNodes(spark, forest_model)
+    assert len(nodes.trees) == 12
+    for limit in (1, 2, 5, 17, None):
+        for tree, shares in zip(nodes.trees, nodes.shares(limit)):
+            want, n = plain_cut(tree, limit or 10**9)
+            assert shares.tolist() == pytest.approx(want) and (limit is None or n <= limit)
+
+
+def test_one_fit_answers_for_smaller_forests(spark, vectors, forest_model):
+    held = vectors.filter("fold = 0")
+    grid = [ForestParams(2, t, max_leaves=k, max_depth=7) for t in (1, 5, 12) for k in (None, 4, 10)]
+    got = forests.nested_accuracy(forest_model, held, grid)
+    nodes = forests.ForestNodes(spark, forest_model)
+    rows = forest_model.transform(held).select("churned", "leaves").collect()
+    for p, accuracy in zip(grid, got):
+        shares = nodes.shares(p.max_leaves)
+        right = [(np.mean([shares[t][int(r["leaves"][t])] for t in range(p.trees)]) > 0.5) == (r["churned"] == 1) for r in rows]
+        assert accuracy == pytest.approx(np.mean(right))
+    alone = forests.fit_forest(vectors.filter("fold != 0"), ForestParams(2, 5, max_depth=7), levels=4)
+    assert [t.toDebugString for t in alone.trees] != [] and len(alone.trees) == 5
+    whole = forests.with_probability(forest_model, held, "client_id").withColumnRenamed("probability", "p")
+    same = forests.with_probability(forest_model, held, "client_id", max_leaves=10**6).join(whole, "client_id")
+    assert same.where("abs(p - probability) > 1e-9").count() == 0
+
+
 def test_forest(vectors):
-    grid = [ForestParams(2, 10, max_depth=5), ForestParams(3, 10, max_depth=5)]
+    grid = [ForestParams(m, t, max_leaves=k, max_depth=5) for m in (2, 3) for t in (5, 10) for k in (None, 8)]
     scores, best, model = forests.grid_search(vectors, grid, 3, levels=4)
-    assert min(scores) > 0.65 and best in grid
-    scored = forests.with_probability(model, vectors, "churned").withColumnRenamed("probability", "score")
+    assert len(scores) == 8 and min(scores) > 0.6 and best in grid
+    scored = forests.with_probability(
+        model, vectors, "churned", max_leaves=best.max_leaves).withColumnRenamed("probability", "score")
     assert evaluation.auc(scored).first()["auc"] > 0.8
     assert {v for v, _ in forests.importance(model, ["a", "b", "c", "group"])[:2]} == {"a", "b"}
 
@@ -149,6 +271,22 @@ def test_out_of_bag(vectors):
     assert 1300 < got["tp"] + got["fp"] + got["fn"] + got["tn"] <= 1500
 
 
+def test_out_of_bag_votes_equal_those_of_single_trees(vectors):
+    params = ForestParams(2, max_depth=4)
+    votes = {}
+    for b in range(4):
+        drawn = vectors.withColumn("w", forests.poisson_weight(F.col("client_id"), 123, b))
+        tree = RandomForestClassifier(
+            labelCol="churned", weightCol="w", numTrees=1, bootstrap=False, featureSubsetStrategy="2", maxDepth=4,
+            minInstancesPerNode=1, maxBins=params.max_bins, seed=123 + b).fit(drawn.filter("w > 0"))
+        for r in tree.transform(drawn.filter("w = 0")).select("client_id", "churned", "prediction").collect():
+            votes.setdefault((r["client_id"], r["churned"]), []).append(r["prediction"])
+    cells = Counter((c, sum(v) > len(v) / 2) for (_, c), v in votes.items())
+    got = forests.out_of_bag(vectors, params, trees=4, levels=4).first()
+    assert (got["tp"], got["fp"], got["fn"], got["tn"]) == (
+        cells[1, True], cells[0, True], cells[1, False], cells[0, False])
+
+
 def test_bag_weights_are_poisson(spark):
     df = spark.range(20000).withColumn("w", forests.poisson_weight(F.col("id"), 1, 0))
     row = df.agg(F.avg("w").alias("m"), F.avg((F.col("w") == 0).cast("int")).alias("zero")).first()

@@ -8,7 +8,7 @@ from ebbtide.plans.study import definition_study
 from ebbtide.sources import readers, sinks
 from ebbtide.sources.sample_tables import SPARSE, customer_accounts, order_sales
 
-SETTINGS = Settings(study=SPARSE, forests=(ForestParams(6, 5, max_depth=4),),
+SETTINGS = Settings(study=SPARSE, forests=(ForestParams(6, 5, max_leaves=8, max_depth=6),),
                     logistic=LogisticParams(lambdas=3, max_iter=20))
 
 
@@ -55,6 +55,13 @@ def test_bundles_and_scoring(spark, folder, data, trained, tmp_path):
     assert summary["clients"] == len(clients) == len({r["client_id"] for r in clients}) == 337
     assert summary["predicted_to_leave"] == sum(r["churn"] for r in clients)
     assert out["total"].first()[0] == pytest.approx(sum(r["expected_loss"] for r in clients))
+    for kind in ("forest", "logistic"):
+        alone = scoring.score_and_value(
+            spark, order_sales(spark, folder), customer_accounts(spark, folder), SETTINGS, paths[kind],
+            str(tmp_path / f"scored-{kind}"))
+        rows = alone["clients"].collect()
+        threshold = spark.read.parquet(f"{paths[kind]}/description").first()["metrics"]["threshold"]
+        assert len(rows) == 337 and all(r["churn"] == int(r["probability"] > threshold) for r in rows)
     factor = ValueParams().factor
     assert all(r["expected_loss"] == pytest.approx(r["probability"] * r["mean_month_volume"] * factor) for r in clients)
 
@@ -79,6 +86,14 @@ def test_inflated_variables_go_one_by_one(data):
     assert all(r["vif"] <= 5 for r in selection.final_vif) and len(selection.final_vif) == len(selection.final)
 
 
+def test_saved_models_score_test_rows_as_training_did(spark, data, trained, tmp_path):
+    paths = training.save_all(trained, str(tmp_path))
+    for kind, result in (("tree", trained.tree), ("forest", trained.forest), ("logistic", trained.logistic)):
+        again = scoring.score_with_bundle(spark, data.test, paths[kind]).join(
+            result.test.select("client_id", "score"), "client_id")
+        assert again.count() == data.test.count() and again.where("abs(probability - score) > 1e-9").count() == 0
+
+
 def test_whole_grid():
     assert len(forest_grid(33)) == 324 and {p.mtry for p in forest_grid(33)} == {4, 6, 8}
 
