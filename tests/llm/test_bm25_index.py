@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +82,62 @@ def test_odd_rows(spark):
 def test_case_and_punctuation():
     data, _ = raw_texts(pa.array(["ÉÀ, Straße 7!"]))
     assert B.plain(data).tobytes().decode() == "éà  straße 7 "
+
+
+def near_copies(seed=4):
+    """Items, and documents that hold a random part of an item's words, so that scores lie around the threshold."""
+    items, _, _ = items_and_docs(seed)
+    rnd = random.Random(seed)
+    docs = []
+    for k in range(200):
+        kept = [w for w in items[k % len(items)][1].split() if rnd.random() < 0.3 + k % 7 / 10]
+        docs.append((k, " ".join(kept)))
+    return items, docs
+
+
+def test_scores_near_the_threshold_do_not_depend_on_parts(spark):
+    items, docs = near_copies()
+    rows = spark.createDataFrame(docs, SCHEMA)
+    given = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for part_bytes in (B.PART_BYTES, 3000, 700):
+        hits = B.leaked_items(rows, given, part_bytes=part_bytes, question=0.0, answer=0.0).collect()
+        got.append({(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in hits})
+    assert got[0] == got[1] == got[2]
+    assert 50 < len(got[0]) < 200 and sum(0.5 <= s < 0.6 for s in got[0].values()) > 3
+
+
+def test_statistics_cover_all_items(spark):
+    items, _, _ = items_and_docs(3, 40, 0)
+    texts = [t for _, t in items]
+    named = spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)], "part int, text string")
+    counted = B.item_terms(named.repartition(4))
+    whole = B.Statistics.of(texts)
+    for part in range(3):
+        got, own = B.statistics_for(counted, part), B.Statistics.of([t for k, t in enumerate(texts) if k % 3 == part])
+        assert (got.items, got.most_words) == (whole.items, whole.most_words)
+        assert got.mean_words == pytest.approx(whole.mean_words) and (got.terms == own.terms).all()
+        assert (got.frequency == whole.frequency[np.searchsorted(whole.terms, got.terms)]).all()
+
+
+def test_many_short_items_in_bounded_memory():
+    rnd = random.Random(5)
+    items = [(k, " ".join(f"w{rnd.randrange(3000)}" for _ in range(8)) + ".") for k in range(20000)]
+    index = B.Index(items)
+    text = " ".join(f"w{rnd.randrange(3000)}" for _ in range(300_000)) + " " + items[7][1]
+    data, offsets = raw_texts(pa.array([text]))
+    tracemalloc.start()
+    hits = B.hits_in(index, data, offsets, 0.5, 0.6, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in {h[1] for h in hits} and peak < 300 << 20
+
+
+def test_ids_of_items(spark):
+    text = "alpha beta gamma delta epsilon."
+    docs = spark.createDataFrame([(1, "x " + text + " y"), (2, "other words")], SCHEMA)
+    rows = [("a", text), ("a", text), ("b", "zeta eta theta iota."), (None, text)]
+    hits = B.leaked_items(docs, spark.createDataFrame(rows, "item_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"] or "") for r in hits) == [(1, ""), (1, "a")]
+    once = B.leaked_items(docs, spark.createDataFrame(rows[1:], "item_id string, text string")).collect()
+    assert {r["item_id"]: r["score"] for r in hits} == pytest.approx({r["item_id"]: r["score"] for r in once})
