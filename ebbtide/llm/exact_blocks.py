@@ -113,19 +113,21 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     """`key`, `keep_id`, `group_size`, `kept`, `text_sha256` for each input row.
 
     Of equal texts the row with the most code points in the original text stays, then the smallest key (a NULL key comes
-    last). Rows that agree in key and length too are one choice: all of them say `kept`.
+    last). Rows that agree in key and length too are one choice: all of them say `kept` (`drop_exact` keeps one).
     """
     rows = materialise(identities(docs, key, text, **options), "identities")
     return grouped(rows, key).select(key, F.col("best.key").alias("keep_id"), "group_size", "kept", "text_sha256")
 
 
 def drop_exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; of rows that agree in key and text too, one stays."""
+    """The row of each group that stays, with all columns; of rows that agree in key and length one stays, whatever their
+    white space."""
     rows = materialise(identities(docs, key, text), "identities")
     as_text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    marks = grouped(rows, key).where("kept").select(as_text.alias("__key"), F.col("row_hash").alias("__hash"))
+    marks = grouped(rows, key).where("kept").groupBy("depth", "name").agg(F.min(
+        F.struct(as_text.alias("__key"), F.col("row_hash").alias("__hash"))).alias("stays")).select("stays.*")
     kept = docs.withColumn("__key", as_text).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = kept.join(marks.distinct(), ["__key", "__hash"], "left_semi")
+    kept = kept.join(marks, ["__key", "__hash"], "left_semi")
     return kept.dropDuplicates(["__key", "__hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -1,8 +1,8 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
 Each source has a budget of words. A budget is a whole number of passes over the source and a part of one pass. For the
-part, each document has a fixed point: the hexadecimal MD5 of its key. Documents below the source's threshold are taken
-once more. The threshold comes from histograms, not from sorting: sizes are summed by source and the first digits of the
+part, each document has a fixed point: the hexadecimal MD5 of its key and text. Documents below the source's threshold are
+taken once more. The threshold comes from histograms, not from sorting: sizes are summed by source and the first digits of the
 point; only the bucket in which the budget ends is summed again, by the next digits. A larger budget has a larger
 threshold, so mixes are nested.
 
@@ -27,8 +27,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def point(key: str = "doc_id") -> Column:
-    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
+def point(key: str = "doc_id", text: str = "text") -> Column:
+    """Of key and text, so that different texts of a frequent key lie apart."""
+    named = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    return F.md5(F.concat(named, F.lit(" "), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
 
 def water_fill(sources: DataFrame, share: float, most: int) -> DataFrame:
@@ -103,7 +105,7 @@ def mixed(docs: DataFrame, key: str, text: str, source: str, weights, share: flo
     """All columns of `docs`, and a struct `__mix` (key, source, size, point, source_size, target, taken) beside them."""
     sized = docs.withColumn("__mix", F.struct(
         F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
-        point(key).alias("point")))
+        point(key, text).alias("point")))
     narrow = materialise(sized.select("__mix.source", "__mix.size", "__mix.point"), "sizes")
     targets = materialise(source_targets(narrow, weights, share, most), "targets")
     below = thresholds(narrow, targets).select(F.col("source").alias("s"), "below")
@@ -119,8 +121,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """`key`, `size`, `source_size`, `target` and `taken` (words taken, repeats counted) for each input row.
 
-    NULL texts have size 0; NULL is a source of its own; rows with the same key are taken together; an empty table gives
-    no rows. The size of a source differs from its target by at most half of the documents at one point.
+    NULL texts have size 0; NULL is a source of its own; rows with the same key and text are taken together; an empty table
+    gives no rows. The size of a source differs from its target by at most half of the documents at one point.
     """
     done = mixed(docs.select(key, text, source), key, text, source, weights, share, most)
     return done.select(F.col("__mix.key").alias(key), "__mix.size", "__mix.source_size", "__mix.target", "__mix.taken")
@@ -143,7 +145,7 @@ def op5_mixing(spark, folder: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS point,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, '')) AS point,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

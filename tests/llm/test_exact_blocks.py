@@ -58,3 +58,9 @@ def test_dropping_keeps_columns_and_one_row_each(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert E.exact_groups(empty).count() == 0 and E.drop_exact(empty).count() == 0
+
+
+def test_one_row_stays_where_only_white_space_differs(spark):
+    rows = [(1, "a bc"), (1, "ab c"), (1, "ab c"), (2, "abc"), (3, "x")]
+    left = E.drop_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"].replace(" ", "")) for r in left) == [(1, "abc"), (3, "x")]

@@ -66,3 +66,12 @@ def test_empty_table_and_clashing_columns(spark):
     got = mixing.mix_documents(docs)
     assert got.columns == [*docs.columns, "mix_size", "mix_target", "mix_taken"]
     assert {(r["doc_id"], r["size"], r["target"]) for r in got.collect()} <= {(1, 7, "t"), (2, 8, "u")}
+
+
+def test_a_frequent_key_is_split_by_its_texts(spark):
+    rows = [(7 if k % 2 else k, f"t{k} " * 3, "s" if k % 4 else "r") for k in range(400)]
+    targets, sizes = expected_targets(rows)
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in sizes:
+        taken = sum(r["taken"] for r in got if r["source_size"] == sizes[s])
+        assert abs(taken - targets[s]) <= 3
