@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +39,112 @@ def lambda_path(largest: float, params: LogisticParams) -> list[float]:
     return [largest * params.lambda_ratio ** (i / steps) for i in range(params.lambdas)]
 
 
-def _lasso(label: str, params: LogisticParams) -> LogisticRegression:
+def _lasso(label: str, params: LogisticParams, features: str = "features") -> LogisticRegression:
     return LogisticRegression(
-        featuresCol="features", labelCol=label, elasticNetParam=1.0, standardization=True, maxIter=params.max_iter
+        featuresCol=features, labelCol=label, elasticNetParam=1.0, standardization=True, maxIter=params.max_iter
     )
 
 
+@dataclass(frozen=True)
+class LassoFit:
+    """The model at one penalty. `residual` is how far it is from an optimum, as a share of the penalty."""
+
+    penalty: float
+    intercept: float
+    coefficients: tuple[float, ...]
+    residual: float
+
+
+def gradients(prepared: DataFrame, models: list[tuple[float, list[float]]], label: str = "churned") -> list[list[float]]:
+    """Mean of (probability - label) times each column, and last that of (probability - label), for each model.
+
+    One aggregate for all models, given as (intercept, coefficients): products are added up as one vector per task.
+    """
+    x, y = F.col("x"), F.col("y")
+    products = []
+    for intercept, coefficients in models:
+        weights = F.lit([float(c) for c in coefficients])
+        terms = F.zip_with(x, weights, lambda a, b: a * b)
+        margin = F.aggregate(terms, F.lit(float(intercept)), lambda total, term: total + term)
+        products.append((1 / (1 + F.exp(-margin)) - y).alias("r"))
+    rows = prepared.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"))
+    rows = rows.select("x", F.array(*products).alias("errors"))
+    each = F.transform("errors", lambda e: F.concat(F.transform(x, lambda v: v * e), F.array(e)))
+    mean = rows.select(Summarizer.mean(array_to_vector(F.flatten(each))).alias("mean")).first()["mean"].toArray()
+    return mean.reshape(len(models), -1).tolist()
+
+
+def lasso_residuals(
+    prepared: DataFrame, fits: list[tuple[float, float, list[float]]], label: str = "churned"
+) -> list[float]:
+    """How far each fit (penalty, intercept, coefficients) is from an optimum, as a share of its penalty; 0 is one.
+
+    At an optimum the gradient of a column, over its deviation, is the penalty against the coefficient's sign, or at most
+    the penalty where the coefficient is 0, and the intercept's is 0.
+    """
+    deviations = column_deviations(prepared)
+    return [
+        _residual(penalty, coefficients, gradient, deviations)
+        for (penalty, _, coefficients), gradient in zip(fits, gradients(prepared, [f[1:] for f in fits], label))
+    ]
+
+
+def column_deviations(prepared: DataFrame) -> list[float]:
+    return prepared.select(Summarizer.std(F.col("features")).alias("s")).first()["s"].toArray().tolist()
+
+
+def _residual(penalty: float, coefficients, gradient: list[float], deviations: list[float]) -> float:
+    worst = abs(gradient[-1])
+    for b, g, s in zip(coefficients, gradient, deviations):
+        if s > 0:
+            worst = max(worst, abs(g / s + math.copysign(penalty, b)) if b else abs(g / s) - penalty)
+    return worst / penalty
+
+
+def lasso_fits(
+    prepared: DataFrame, lambdas: list[float], params: LogisticParams, label: str = "churned"
+) -> list[LassoFit]:
+    """One fit for each penalty, the largest first, on the columns that can have a coefficient.
+
+    Sequential strong rule: a column is set aside if its gradient at the last penalty is below twice the new penalty
+    minus the last one. The rule may err, so the gradients of the fit are computed for all columns, and a fit is repeated
+    with the columns that should have been in it. `residual`, over all columns, says whether the steps sufficed.
+    """
+    deviations = column_deviations(prepared)
+    share = prepared.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    if share in (None, 0.0, 1.0):
+        raise ValueError("both classes are needed")
+    nothing = (math.log(share / (1 - share)), [0.0] * len(deviations))
+    usable = [j for j, s in enumerate(deviations) if s > 0]
+    gradient = gradients(prepared, [nothing], label)[0]
+    last, fits, active = max((abs(gradient[j]) / deviations[j] for j in usable), default=0.0), [], set()
+    for penalty in sorted(lambdas, reverse=True):
+        threshold = 2 * penalty - max(last, penalty)
+        kept = active | {j for j in usable if abs(gradient[j]) / deviations[j] >= threshold * (1 - 1e-9)}
+        while True:
+            intercept, coefficients = nothing[0], list(nothing[1])
+            if kept:
+                order = sorted(kept)
+                narrow = VectorSlicer(inputCol="features", outputCol="kept", indices=order).transform(prepared)
+                estimator = _lasso(label, params, "kept")
+                wanted = {estimator.regParam: penalty, estimator.tol: params.tol}
+                model = estimator.fit(narrow.select(label, "kept"), wanted)
+                intercept = float(model.intercept)
+                for j, c in zip(order, model.coefficients.toArray()):
+                    coefficients[j] = float(c)
+            gradient = gradients(prepared, [(intercept, coefficients)], label)[0]
+            missed = {j for j in usable if j not in kept
+                      and abs(gradient[j]) / deviations[j] > penalty * (1 + params.tolerance)}
+            if not missed:
+                break
+            kept |= missed
+        active = {j for j, c in enumerate(coefficients) if c}
+        last = penalty
+        fits.append(LassoFit(penalty, intercept, tuple(coefficients),
+                             _residual(penalty, coefficients, gradient, deviations)))
+    return fits
+
+
 def lasso_path(
     prepared: DataFrame, lambdas: list[float], folds: int, params: LogisticParams, label: str = "churned",
     parallelism: int = 8,
@@ -74,11 +178,8 @@ def lasso_select(
     """
     chosen = one_standard_error(path)
     for value in sorted((r["lambda"] for r in path if r["lambda"] <= chosen), reverse=True):
-        estimator = _lasso(label, params)
-        model = estimator.fit(prepared, {estimator.regParam: value})
-        kept = [
-            {"variable": n, "coefficient": float(c)} for n, c in zip(names, model.coefficients.toArray()) if c != 0
-        ]
+        fit = lasso_fits(prepared, [value], params, label)[0]
+        kept = [{"variable": n, "coefficient": c} for n, c in zip(names, fit.coefficients) if c != 0]
         if kept:
             break
     else:

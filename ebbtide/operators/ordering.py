@@ -6,6 +6,7 @@ are counted, and only then is anything sorted, inside a bucket. What is broadcas
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
@@ -62,42 +63,55 @@ def running_totals(
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], buckets: int = 256
 ) -> DataFrame:
-    """Interpolated quantiles of each column: rows (column, probability, value). Reads `df` three times."""
-    wide = with_buckets(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, buckets)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}__bucket").alias("bucket"), F.col(c).alias("value"))
-        for c in columns
-    ]))
-    long = wide.select(pairs.alias("p")).select("p.*").filter("value is not null")
-
-    by_bucket = Window.partitionBy("column").orderBy("bucket")  # at most `buckets` rows per column
-    counts = long.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("n")).select(
-        "column", "bucket", "n",
-        (F.sum("n").over(by_bucket) - F.col("n")).alias("before"),
-        F.sum("n").over(Window.partitionBy("column")).alias("rows"),
-    )
-    place = F.col("probability") * (F.col("rows") - 1)
-    wanted = (
-        counts.withColumn("probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-        .withColumn("place", place)
-        .withColumn("rank", F.explode(F.array(F.floor("place"), F.ceil("place"))))
-        .filter("rank >= before and rank < before + n")
-        .select("column", "bucket", "probability", "place", (F.col("rank") - F.col("before")).alias("inner_rank"))
-        .distinct()
-    )
-    by_value = Window.partitionBy("column", "bucket").orderBy("value")
-    values = (
-        long.join(F.broadcast(wanted.select("column", "bucket").distinct()), ["column", "bucket"], "left_semi")
-        .groupBy("column", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(by_value))
-    )
-    found = values.join(F.broadcast(wanted), ["column", "bucket"]).filter(
-        "inner_rank < upto and inner_rank >= upto - n"
+    """Interpolated quantiles of each column: rows (column, probability, value). Reads `df` three times.
+
+    A sketch gives a value below and one above each wanted place. One aggregate then counts, for all columns at once,
+    how many values lie before and inside each of these brackets. Only values inside a bracket, about 1 / `buckets` of a
+    column, leave their row to be ordered. A bracket that misses its place is opened to the whole column.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    half = 1 / (2 * buckets)
+    edges = sorted({q for p in probabilities for q in (p - half, p + half) if 0 < q < 1})
+    sketched = values.approxQuantile(columns, edges, half / 2) if edges else [[] for _ in columns]
+    at = [dict(zip(edges, found)) for found in sketched]
+    brackets = [(i, p, at[i].get(p - half), at[i].get(p + half)) for i in range(len(columns)) for p in probabilities]
+
+    def inside(column: str, low: float | None, high: float | None) -> Column:
+        within = F.col(column).isNotNull()
+        within = within if low is None else within & (F.col(column) >= low)
+        return within if high is None else within & (F.col(column) <= high)
+
+    counted = values.agg(
+        *[F.count(c).alias(f"rows_{i}") for i, c in enumerate(columns)],
+        *[F.count_if(F.lit(False) if low is None else F.col(columns[i]) < low).alias(f"before_{k}")
+          for k, (i, _, low, _) in enumerate(brackets)],
+        *[F.count_if(inside(columns[i], low, high)).alias(f"inside_{k}")
+          for k, (i, _, low, high) in enumerate(brackets)],
+    ).first()
+    wanted, members = [], []
+    for k, (i, p, low, high) in enumerate(brackets):
+        if not counted[f"rows_{i}"]:
+            continue
+        place, before = p * (counted[f"rows_{i}"] - 1), counted[f"before_{k}"]
+        lower, upper = math.floor(place), math.ceil(place)
+        if not (before <= lower and upper < before + counted[f"inside_{k}"]):
+            low, high, before = None, None, 0
+        wanted += [(k, columns[i], float(p), place - lower, rank - before) for rank in {lower, upper}]
+        members.append(F.when(inside(columns[i], low, high), F.struct(
+            F.lit(k).alias("bracket"), F.col(columns[i]).alias("value"))))
+    places = df.sparkSession.createDataFrame(
+        wanted, "bracket int, column string, probability double, fraction double, inner_rank long")
+    if not members:
+        return places.select("column", "probability", F.lit(None).cast("double").alias("value"))
+    ordered = Window.partitionBy("bracket").orderBy("value")
+    upto = (
+        values.select(F.explode(F.array_compact(F.array(*members))).alias("m")).select("m.*")
+        .groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(ordered))
     )
-    fraction = F.max("place") - F.floor(F.max("place"))
+    found = upto.join(F.broadcast(places), "bracket").filter("inner_rank < upto and inner_rank >= upto - n")
     return found.groupBy("column", "probability").agg(
-        (F.min("value") + fraction * (F.max("value") - F.min("value"))).alias("value")
+        (F.min("value") + F.max("fraction") * (F.max("value") - F.min("value"))).alias("value")
     )
 
 

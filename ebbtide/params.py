@@ -67,6 +67,8 @@ def forest_grid(
 
 @dataclass(frozen=True)
 class LogisticParams:
+    """`tol` ends a single LASSO fit; `tolerance` is how far from an optimum, as a share of the penalty, it may be."""
+
     correlation_limit: float = 0.9
     vif_limit: float = 5.0
     lambdas: int = 20
@@ -75,6 +77,8 @@ class LogisticParams:
     drop_by_vif: bool = False
     use_context: bool = False
     max_iter: int = 100
+    tol: float = 1e-8
+    tolerance: float = 1e-3
 
 
 @dataclass(frozen=True)

@@ -306,6 +306,60 @@ SELECT CAST(i AS INTEGER) AS step, round(largest * {ratio}::DOUBLE ** (i / {coun
 FROM top, range({count}) r(i)"""
 
 
+def flag_ctes() -> str:
+    """Counts of one flag against the label: a, b leave with and without it, c, d stay with and without it."""
+    return all_ctes(SPARSE) + """,
+cells AS (SELECT count(*) FILTER (last_sale_month > 3 AND churned = 1)::DOUBLE AS a,
+  count(*) FILTER (last_sale_month <= 3 AND churned = 1)::DOUBLE AS b,
+  count(*) FILTER (last_sale_month > 3 AND churned = 0)::DOUBLE AS c,
+  count(*) FILTER (last_sale_month <= 3 AND churned = 0)::DOUBLE AS d FROM features)"""
+
+
+def glm_flag_sql() -> str:
+    return f"""WITH {flag_ctes()},
+terms AS (SELECT 'late' AS variable, ln(a * d / (b * c)) AS e, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS s FROM cells
+  UNION ALL SELECT '(Intercept)', ln(b / d), sqrt(1 / b + 1 / d) FROM cells)
+SELECT variable, {near('e')} AS coefficient, {near('s')} AS std_error, {near('e / s')} AS z, {near('exp(e)')} AS odds_ratio FROM terms"""
+
+
+def glm_flag_summary_sql() -> str:
+    return f"""WITH {flag_ctes()},
+fits AS (SELECT a + b + c + d AS n,
+  -2 * (a * ln(a / (a + c)) + c * ln(c / (a + c)) + b * ln(b / (b + d)) + d * ln(d / (b + d))) AS fitted,
+  -2 * ((a + b) * ln((a + b) / (a + b + c + d)) + (c + d) * ln((c + d) / (a + b + c + d))) AS nothing FROM cells)
+SELECT {near('fitted')} AS deviance, {near('nothing')} AS null_deviance, {near('fitted + 4')} AS aic,
+  CAST(n - 2 AS INTEGER) AS degrees_of_freedom FROM fits"""
+
+
+def lasso_flag_sql(count: int = 20, ratio: float = 1e-3) -> str:
+    """With one flag, the penalty moves the share that leaves by penalty * n * deviation on both sides of the flag."""
+    return f"""WITH {flag_ctes()},
+shape AS (SELECT *, a + b + c + d AS n, a + c AS with_, b + d AS without_ FROM cells),
+spread AS (SELECT *, sqrt(with_ * without_ / n / (n - 1)) AS deviation,
+  abs(a / n - with_ / n * (a + b) / n) / sqrt(with_ / n * without_ / n) AS largest, sign(a / with_ - b / without_) AS side FROM shape),
+steps AS (SELECT *, i, largest * {ratio}::DOUBLE ** (i / {count - 1}) AS penalty FROM spread, range({count}) r(i)),
+shares AS (SELECT *, a / with_ - side * penalty * deviation * n / with_ AS p1,
+  b / without_ + side * penalty * deviation * n / without_ AS p0 FROM steps),
+fits AS (SELECT i, penalty, CASE WHEN side * (p1 - p0) > 0 THEN p1 ELSE (a + b) / n END AS p1,
+  CASE WHEN side * (p1 - p0) > 0 THEN p0 ELSE (a + b) / n END AS p0 FROM shares)
+SELECT CAST(i AS INTEGER) AS step, {near('penalty', 4)} AS lambda, {near('ln(p1 / (1 - p1)) - ln(p0 / (1 - p0))', 4)} AS coefficient,
+  {near('ln(p0 / (1 - p0))', 4)} AS intercept, true AS optimal FROM fits"""
+
+
+def stump_sql() -> str:
+    """Every cut between two values that leaves 7 rows on each side; the first of the strongest."""
+    return f"""WITH {all_ctes(SPARSE)},
+v AS (SELECT weekday_sales AS v, count(*) AS n, sum(churned) AS y FROM features GROUP BY ALL),
+cuts AS (SELECT (v + lead(v) OVER o) / 2.0 AS threshold, sum(n) OVER o AS ln, sum(y) OVER o AS ly,
+  sum(n) OVER () AS tn, sum(y) OVER () AS ty FROM v WINDOW o AS (ORDER BY v)),
+gains AS (SELECT *, (ty / tn * (1 - ty / tn) - ln / tn * (ly / ln * (1 - ly / ln))
+  - (tn - ln) / tn * ((ty - ly) / (tn - ln) * (1 - (ty - ly) / (tn - ln)))) AS gain
+  FROM cuts WHERE threshold IS NOT NULL AND ln >= 7 AND tn - ln >= 7)
+SELECT {near('threshold::DOUBLE')} AS threshold, CAST(ln AS BIGINT) AS left_rows, CAST(ly AS BIGINT) AS left_churned, CAST(tn - ln AS BIGINT) AS right_rows,
+  CAST(ty - ly AS BIGINT) AS right_churned, {near('gain')} AS gain FROM gains WHERE gain > 0 AND (SELECT count(*) FROM features) >= 15
+ORDER BY round(gains.gain, 12) DESC, gains.threshold LIMIT 1"""
+
+
 COMPARED = {
     "mixed": "score", "activity": "round(1 / (1 + activity_change), 4)", "recency": "round(mean_gap / (mean_gap + 200), 4)",
 }
@@ -474,6 +528,11 @@ SELECT part, churned, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTIT
         "corr_pairs": correlation_sql("WHERE abs(CASE WHEN isnan(c) THEN NULL ELSE c END) > 0.9"),
         "corr_screen": f"WITH {screen_ctes()} SELECT variable, kept, round(strength, 6) AS abs_correlation, dropped FROM strong JOIN walk USING (step)",
         "lasso_lambdas": lambdas_sql(),
+        "lasso_penalties": lambdas_sql(20),
+        "lasso_flag": lasso_flag_sql(),
+        "glm_flag": glm_flag_sql(),
+        "glm_flag_summary": glm_flag_summary_sql(),
+        "tree_stump": stump_sql(),
         "bag_weights": bag_sql(),
         "impurity_by_group": f"""WITH {sparse}, k AS (SELECT account_type, churned, count(*) AS n FROM features GROUP BY ALL),
 p AS (SELECT account_type, n, n / sum(n) OVER (PARTITION BY account_type) AS p, (SELECT count(DISTINCT churned) FROM features) AS classes FROM k),

@@ -10,7 +10,7 @@ from pyspark.sql.types import DateType, DoubleType, TimestampNTZType
 
 from ebbtide.operators import cleaning, comparison, definitions, encoding, evaluation, forests, history, imputing
 from ebbtide.operators import logistic, monthly, reports, sampling, screening, trees, value
-from ebbtide.params import LogisticParams, Settings, Study, ValueParams, forest_grid
+from ebbtide.params import LogisticParams, Settings, Study, TreeParams, ValueParams, forest_grid
 from ebbtide.plans import features as plan
 from ebbtide.plans import scoring, training
 from ebbtide.session import materialise
@@ -238,6 +238,11 @@ def sql_queries() -> dict[str, Query]:
         "corr_pairs": with_table(lambda t: reports.correlated_pairs(reports.correlation_table(t, numeric(t)))),
         "corr_screen": corr_screen,
         "lasso_lambdas": lasso_lambdas,
+        "lasso_penalties": lasso_penalties,
+        "lasso_flag": lasso_flag,
+        "glm_flag": glm_flag,
+        "glm_flag_summary": glm_flag_summary,
+        "tree_stump": tree_stump,
         "bag_weights": bag_weights,
         "impurity_by_group": with_table(lambda t: reports.impurity_by_group(t, "account_type", "churned")),
         "stratified_split": lambda s, d: split(s, d),
@@ -378,14 +383,63 @@ def corr_screen(spark: SparkSession, folder: str) -> DataFrame:
     return records(spark, pairs, "variable string, kept string, abs_correlation double, dropped boolean")
 
 
-def lasso_lambdas(spark: SparkSession, folder: str) -> DataFrame:
+def lasso_penalties(spark: SparkSession, folder: str, params: LogisticParams = FITS.logistic) -> DataFrame:
     """The penalties to try: from the one that lets the first screened variable in, downwards."""
     columns, _ = stage("screened", spark, folder)
     largest = logistic.largest_lambda(stage("linear", spark, folder)[0], columns)
-    rows = [{"step": i, "lambda": x} for i, x in enumerate(logistic.lambda_path(largest, FITS.logistic))]
+    rows = [{"step": i, "lambda": x} for i, x in enumerate(logistic.lambda_path(largest, params))]
     return records(spark, rows, "step int, lambda double")
 
 
+def lasso_lambdas(spark: SparkSession, folder: str) -> DataFrame:
+    """A path of six penalties over the same range."""
+    return lasso_penalties(spark, folder, LogisticParams(lambdas=6))
+
+
+def one_flag(spark: SparkSession, folder: str) -> DataFrame:
+    """The label and one 0/1 column, for which the linear models have closed forms."""
+    table = feature_table(spark, folder).select("churned", (F.col("last_sale_month") > 3).cast("double").alias("late"))
+    return materialise(encoding.linear_inputs(["late"], []).fit(table).transform(table), "one-flag")
+
+
+def glm_flag(spark: SparkSession, folder: str) -> DataFrame:
+    data = one_flag(spark, folder)
+    wald = logistic.wald_table(data, logistic.fit_glm(data), ["late"])
+    return wald.select("variable", "coefficient", "std_error", "z", "odds_ratio")
+
+
+def glm_flag_summary(spark: SparkSession, folder: str) -> DataFrame:
+    data = one_flag(spark, folder)
+    return logistic.glm_summary(data, logistic.fit_glm(data)).drop("iterations")
+
+
+def lasso_flag(spark: SparkSession, folder: str) -> DataFrame:
+    """The coefficient along the whole path, and whether each fit is an optimum."""
+    data, params = one_flag(spark, folder), FITS.logistic
+    lambdas = logistic.lambda_path(logistic.largest_lambda(data, ["late"]), params)
+    rows = [{"step": i, "lambda": f.penalty, "coefficient": f.coefficients[0], "intercept": f.intercept,
+             "optimal": f.residual <= params.tolerance}
+            for i, f in enumerate(logistic.lasso_fits(data, lambdas, params))]
+    table = records(spark, rows, "step int, lambda double, coefficient double, intercept double, optimal boolean")
+    return tidy(table, 4)
+
+
+def tree_stump(spark: SparkSession, folder: str) -> DataFrame:
+    """One split of one integer column: where it lies, and what is on each side."""
+    table = feature_table(spark, folder).select("churned", F.col("weekday_sales").cast("double").alias("n"))
+    data = materialise(encoding.tree_inputs(["n"], []).fit(table).transform(table), "stump")
+    params = TreeParams(max_depth=1)
+    nodes = trees.node_table(spark, trees.fit_tree(data, params), params.min_split)
+    root = nodes[0]
+    rows = []
+    if root.inner:
+        left, right = nodes[root.left], nodes[root.right]
+        rows = [{"threshold": float(root.cuts[0]), "left_rows": int(left.rows), "left_churned": int(left.positives),
+                 "right_rows": int(right.rows), "right_churned": int(right.positives), "gain": float(root.gain)}]
+    return records(spark, rows, "threshold double, left_rows long, left_churned long, right_rows long, "
+                                "right_churned long, gain double")
+
+
 def bag_weights(spark: SparkSession, folder: str) -> DataFrame:
     """How often each client is drawn for the first trees of a bag."""
     draws = F.explode(F.array(*[

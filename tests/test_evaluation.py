@@ -111,6 +111,21 @@ def test_quantiles_of_an_empty_column(spark):
     assert [(r["column"], r["value"]) for r in got] == [("b", 1.5)]
 
 
+def test_a_bracket_that_misses_its_place_is_opened(spark, monkeypatch):
+    df = spark.range(101).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    monkeypatch.setattr(type(df), "approxQuantile", lambda self, columns, grid, error: [[200.0] * len(grid)] * len(columns))
+    got = {(r["column"], r["probability"]): r["value"] for r in ordering.exact_quantiles(df, ["a", "b"], [0.1, 0.5]).collect()}
+    assert got == {("a", 0.1): 10, ("a", 0.5): 50, ("b", 0.1): 0, ("b", 0.5): 3}
+
+
+def test_quantiles_with_nan_and_without_rows(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (nan,), (nan,), (None,)], "a double")
+    got = {r["probability"]: r["value"] for r in ordering.exact_quantiles(df, ["a"], [0.0, 0.25, 1.0]).collect()}
+    assert got[0.0] == 1 and got[0.25] == 1.75 and np.isnan(got[1.0])  # not-a-number is above all numbers
+    assert ordering.exact_quantiles(df.where("a > 5 and not isnan(a)"), ["a"], [0.5]).collect() == []
+
+
 def test_histogram_holds_every_row(spark):
     df = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"), F.lit(3.0).alias("y"))
     got = reports.feature_histogram(df, ["x", "y"]).collect()

@@ -353,6 +353,45 @@ def test_lasso_keeps_the_drivers(planted):
     assert at_top.fit(data, {at_top.regParam: largest * 1.001}).coefficients.numNonzeros() == 0
 
 
+def lasso_data(planted):
+    names = ["a", "b", "c", "k"]
+    table = planted.withColumn("k", F.lit(2.0))
+    return table, names, linear_inputs(names, []).fit(table).transform(table)
+
+
+def test_gradients_of_several_models_in_one_pass(planted):
+    _, names, data = lasso_data(planted)
+    models = [(0.5, [0.0] * 4), (-1.0, [0.2, -0.3, 0.0, 0.4])]
+    p = data.select(*names, "churned").toPandas()
+    x, y = p[names].to_numpy(), p.churned.to_numpy()
+    for got, (intercept, coefficients) in zip(logistic.gradients(data, models), models):
+        errors = 1 / (1 + np.exp(-(intercept + x @ np.array(coefficients)))) - y
+        assert got == pytest.approx([*(x * errors[:, None]).mean(axis=0), errors.mean()], abs=1e-12)
+
+
+def test_screened_lasso_fits_are_optima_and_equal_whole_fits(planted):
+    params = LogisticParams(lambdas=5)
+    table, names, data = lasso_data(planted)
+    lambdas = logistic.lambda_path(logistic.largest_lambda(table, names[:3]), params)[:3]
+    fits = logistic.lasso_fits(data, lambdas, params)
+    assert [f.penalty for f in fits] == lambdas and all(f.residual <= params.tolerance for f in fits)
+    for f in fits:
+        estimator = logistic._lasso("churned", params)
+        whole = estimator.fit(data, {estimator.regParam: f.penalty, estimator.tol: params.tol})
+        assert list(f.coefficients) == pytest.approx(whole.coefficients.toArray().tolist(), abs=1e-3)
+        assert f.coefficients[3] == 0  # a constant column
+    again = logistic.lasso_residuals(data, [(f.penalty, f.intercept, list(f.coefficients)) for f in fits])
+    assert again == pytest.approx([f.residual for f in fits], abs=1e-9)
+    moved = [(f.penalty, f.intercept + 0.5, list(f.coefficients)) for f in fits]
+    assert min(logistic.lasso_residuals(data, moved)) > params.tolerance
+
+
+def test_lasso_needs_both_classes(planted):
+    _, _, data = lasso_data(planted.where("churned = 1"))
+    with pytest.raises(ValueError):
+        logistic.lasso_fits(data, [0.1], LogisticParams())
+
+
 def test_one_standard_error_rule():
     path = [{"lambda": 3.0, "mean_auc": 0.70, "se_auc": 0.1}, {"lambda": 2.0, "mean_auc": 0.79, "se_auc": 0.1},
             {"lambda": 1.0, "mean_auc": 0.8, "se_auc": 0.02}]
