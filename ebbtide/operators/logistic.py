@@ -178,8 +178,11 @@ def lasso_select(
     """
     chosen = one_standard_error(path)
     for value in sorted((r["lambda"] for r in path if r["lambda"] <= chosen), reverse=True):
-        fit = lasso_fits(prepared, [value], params, label)[0]
-        kept = [{"variable": n, "coefficient": c} for n, c in zip(names, fit.coefficients) if c != 0]
+        estimator = _lasso(label, params)
+        model = estimator.fit(prepared, {estimator.regParam: value})
+        kept = [
+            {"variable": n, "coefficient": float(c)} for n, c in zip(names, model.coefficients.toArray()) if c != 0
+        ]
         if kept:
             break
     else:
