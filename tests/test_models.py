@@ -255,6 +255,23 @@ def test_one_fit_answers_for_smaller_forests(spark, vectors, forest_model):
     assert same.where("abs(p - probability) > 1e-9").count() == 0
 
 
+def test_leaf_shares_are_joined_leaf_by_leaf(spark, vectors, forest_model):
+    held = vectors.filter("fold = 0")
+    rows = forests._leaves_only(forest_model, held, "client_id")
+    shares = forests.ForestNodes(spark, forest_model).shares(5)
+    got = forests._with_shares(rows.unionAll(rows), {"s": shares})
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "extended")
+    assert "array<array" not in plan and "Join Inner, ((tree" in plan  # no row that holds the whole model
+    want = sorted((r["client_id"], [float(shares[t][int(i)]) for t, i in enumerate(r["leaves"])]) for r in rows.collect())
+    assert sorted((r["client_id"], r["s"]) for r in got.collect()) == sorted(want + want)
+
+
+def test_forest_fits_keep_node_ids_and_use_all_cores(spark, vectors):
+    assert forests.forest().getCacheNodeIds()
+    cores = spark.sparkContext.defaultParallelism
+    assert forests.side_by_side(vectors) == max(4, min(16, cores)) and forests.side_by_side(vectors, 3) == 3
+
+
 def test_forest(vectors):
     grid = [ForestParams(m, t, max_leaves=k, max_depth=5) for m in (2, 3) for t in (5, 10) for k in (None, 8)]
     scores, best, model = forests.grid_search(vectors, grid, 3, levels=4)
