@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
 from ebbtide.operators import evaluation, forests, logistic, sampling, screening, trees
@@ -355,6 +357,22 @@ def test_vif_matches_the_weighted_correlation_inverse(planted):
     assert got["b"] > 5 > got["c"]
 
 
+def test_lasso_path_is_that_of_a_cross_validator_in_few_parts(spark, vectors):
+    params, lambdas = LogisticParams(max_iter=30), [0.1, 0.01]
+    data = vectors.select("churned", "fold", "features").repartition(7)
+    estimator = logistic._lasso("churned", params)
+    found = CrossValidator(
+        estimator=estimator, estimatorParamMaps=[{estimator.regParam: x} for x in lambdas], foldCol="fold", numFolds=3,
+        evaluator=BinaryClassificationEvaluator(labelCol="churned", numBins=0)).fit(data)
+    path = logistic.lasso_path(data, lambdas, 3, params)
+    assert [r["mean_auc"] for r in path] == pytest.approx(found.avgMetrics)
+    assert [math.sqrt(2) * r["se_auc"] for r in path] == pytest.approx(found.stdMetrics)
+    assert logistic.few_parts(data, 1500).rdd.getNumPartitions() == 1
+    assert logistic.few_parts(data, 1500, 2000).rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError, match="fold 3"):
+        logistic.lasso_path(data, lambdas, 4, params)
+
+
 def test_lasso_keeps_the_drivers(planted):
     params = LogisticParams(lambdas=5, max_iter=50)
     names = ["a", "b", "c"]
