@@ -373,6 +373,24 @@ def test_lasso_path_is_that_of_a_cross_validator_in_few_parts(spark, vectors):
         logistic.lasso_path(data, lambdas, 4, params)
 
 
+def test_fold_models_are_optima_and_share_their_passes(spark, vectors, monkeypatch):
+    params, lambdas = LogisticParams(), [0.003, 0.1, 0.02]
+    data = vectors.select("churned", "fold", "features").repartition(3)
+    passes, one_pass = [], logistic.fold_statistics
+    monkeypatch.setattr(logistic, "fold_statistics", lambda *a: passes.append(1) or one_pass(*a))
+    coefficients, intercepts = logistic.fold_models(data, lambdas, 3, params)
+    assert len(passes) < 25  # for nine fits, each of which took a pass for every step before
+    for f in range(3):
+        train = data.filter(F.col("fold") != f)
+        fits = [(p, float(intercepts[f, i]), coefficients[f, i].tolist()) for i, p in enumerate(lambdas)]
+        assert max(logistic.lasso_residuals(train, fits)) < params.tolerance
+        estimator = logistic._lasso("churned", params)
+        for i, p in enumerate(lambdas):
+            whole = estimator.fit(train, {estimator.regParam: p, estimator.tol: 1e-12, estimator.maxIter: 500})
+            assert coefficients[f, i] == pytest.approx(whole.coefficients.toArray(), abs=1e-4)
+            assert intercepts[f, i] == pytest.approx(whole.intercept, abs=1e-4)
+
+
 def test_lasso_keeps_the_drivers(planted):
     params = LogisticParams(lambdas=5, max_iter=50)
     names = ["a", "b", "c"]
