@@ -268,6 +268,19 @@ def test_leaf_shares_are_joined_leaf_by_leaf(spark, vectors, forest_model):
     assert sorted((r["client_id"], r["s"]) for r in got.collect()) == sorted(want + want)
 
 
+def test_rows_go_down_the_trees_without_a_join(spark, vectors, forest_model, monkeypatch):
+    held = vectors.filter("fold = 0")
+    nodes = forests.ForestNodes(spark, forest_model)
+    assert any(t["by_set"].any() for t in nodes.trees) and not all(t["by_set"].all() for t in nodes.trees)
+    limits = {"whole": None, "five": 5}
+    monkeypatch.setattr(forests, "SLICE", 36)  # three rows at once
+    got = forests.with_shares(held, forest_model, nodes, limits, "client_id", "churned")
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "extended")
+    assert "Join" not in plan and "Aggregate" not in plan and "Exchange" not in plan
+    joined = forests.with_shares(held, forest_model, nodes, limits, "client_id", "churned", most=0)
+    assert got.count() == held.count() and got.exceptAll(joined).isEmpty() and joined.exceptAll(got).isEmpty()
+
+
 def test_forest_fits_keep_node_ids_and_use_all_cores(spark, vectors):
     assert forests.forest().getCacheNodeIds()
     cores = spark.sparkContext.defaultParallelism
