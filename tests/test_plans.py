@@ -1,5 +1,7 @@
 """The three plans end to end: study, training with saved bundles, scoring with a bundle."""
 
+import threading
+
 import pytest
 
 from ebbtide.params import ForestParams, LogisticParams, Settings, ValueParams, forest_grid
@@ -116,3 +118,19 @@ def test_reading_and_writing_tables(spark, folder, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "text")).count() == 50
     customer_accounts(spark, folder).write.parquet(str(tmp_path / "accounts"))
     assert readers.read_accounts(spark, str(tmp_path / "accounts")).columns == readers.ACCOUNT_COLUMNS
+
+
+def test_models_are_trained_side_by_side(spark):
+    both = threading.Barrier(3, timeout=30)  # broken unless all three run at the same time
+
+    def job(i):
+        both.wait()
+        return spark.range(i).count()
+
+    assert training.at_once(spark, *(lambda i=i: job(i) for i in (3, 1, 2))) == [3, 1, 2]
+
+    def fails():
+        raise ValueError("no rows")
+
+    with pytest.raises(ValueError, match="no rows"):
+        training.at_once(spark, lambda: 1, fails)
