@@ -2,10 +2,11 @@
 
 A paragraph (a line of the text) is a set of word one-, two- and three-grams. Those of the licence templates that hold a
 word with some meaning are the features; a sparse (elastic net) multinomial logistic regression over them tells the
-families and `unknown`. It is trained on pieces of the templates against sentences that only sound like licences and a
-bounded sample of the corpus (a parameter). The probability a family needs is calibrated: on a held-back part, what is
-unknown must not reach it. A prediction is confirmed by comparison with the templates of its family: enough of the
-paragraph's word pairs must occur there.
+families and `unknown`. It is trained on pieces of the templates against sentences that only sound like licences and all
+lines of the corpus that hold no three words of a template. Lines with the same features are one training row, weighted by
+how many different lines it stands for; together lines weigh at most as much as the pieces. The probability a family needs
+is calibrated on the fifth of these lines and sentences that is held back: at most 1% of it may exceed it. A prediction is
+confirmed by comparison with the templates of its family: enough of the paragraph's word pairs must occur there.
 
 A notice inside a longer line is found by its words: for each family, the runs of words of which enough pairs are the
 family's (`matching_runs`) and that hold half of a template, or as many pairs as the longest training piece, are classified
@@ -19,6 +20,7 @@ made; documents are not shuffled as long as nothing is found in them.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 from pyspark.ml.classification import LogisticRegression
@@ -32,8 +34,8 @@ from ebbtide.llm.tables import table
 from ebbtide.session import materialise
 
 FAMILIES = sorted(TEMPLATES)
-#: Documents sampled as unknown text, words of a training piece, share of confirmed word pairs, least probability.
-SAMPLE, PIECES, CONFIRMED, LEAST = 400, (5, 8, 13), 0.6, 0.5
+#: Words of a training piece, share of confirmed word pairs, least probability and its steps, training rows of a task.
+PIECES, CONFIRMED, LEAST, STEPS, PART = (5, 8, 13), 0.6, 0.5, 10000, 100_000
 #: Share of a template's word pairs that a run inside a line must hold, and pairs that it must hold at least.
 COVERED, FEWEST = 0.5, 3
 #: What a pair adds to the score of a run: a run has the CONFIRMED share of pairs exactly if its score is not negative.
@@ -120,7 +122,7 @@ def pieces(rows: DataFrame) -> DataFrame:
 class LicenceModel:
     """A fitted classifier, its features, the words they need, and the calibrated least probability."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", sample: int = SAMPLE):
+    def __init__(self, docs: DataFrame, text: str = "text"):
         spark = docs.sparkSession
         self.templates = materialise(templates(spark), "templates")
         plain = set(FUNCTION_WORDS.split())
@@ -138,27 +140,51 @@ class LicenceModel:
         self.pairs = {f: [(r["pairs"], max(FEWEST, min(COVERED * len(r["pairs"]), PIECES[-1] - 1)))
                           for r in listed if r["family"] == f] for f in FAMILIES}
 
-        n = max(1, docs.count())
-        chosen = docs.where(F.pmod(F.xxhash64(F.lit("licence"), text), F.lit(1 << 30)) < F.lit(
-            int(min(1.0, sample / n) * (1 << 30))))
-        lines = chosen.select(F.explode(F.split(text, "\n")).alias("text")).distinct()
-        known = F.array(*(F.lit(g) for g in self.features if g.count(" ") == 2))
-        lines = lines.select(F.lit("").alias("family"), words("text").alias("words")).where(
-            (F.size("words") > 0) & ~F.arrays_overlap(runs(F.col("words"), 3), known))
         others = literal_rows(spark, [("", t) for t in OTHER]).select("family", words("text").alias("words"))
-        rows = pieces(self.templates.unionByName(others)).unionByName(lines.select("family", "words"))
-        rows = rows.select("family", grams(F.col("words")).alias("grams")).distinct()
+        made = pieces(self.templates.unionByName(others)).select("family", grams(F.col("words")).alias("grams")).distinct()
+        made = made.select("family", "grams", (F.pmod(F.xxhash64("grams"), F.lit(5)) == 0).alias("held"),
+                           F.lit(1).cast("long").alias("n"), F.lit(False).alias("line"))
+        #: Lines of the documents, as `features` (grams), `held` and `n` (different lines with these features).
+        self.lines = materialise(self.line_features(docs, text), "licence-lines-seen")
+        known = F.array(*(F.lit(g) for g in self.features if g.count(" ") == 2))
+        seen = self.lines.where(~F.arrays_overlap("grams", known)).select(
+            F.lit("").alias("family"), "grams", "held", "n", F.lit(True).alias("line"))
+        rows = made.unionByName(seen)
         position = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family"))
-        rows = rows.withColumn("label", position.cast("double"))
-        rows = rows.withColumn("held", F.pmod(F.xxhash64("grams"), F.lit(5)) == 0)
-        rows = materialise(rows.coalesce(4), "licence-training")
+        rows = materialise(rows.withColumn("label", position.cast("double")), "licence-training")
         self.vectorizer = CountVectorizerModel.from_vocabulary(self.features, "grams", "features")
         self.vectorizer.setBinary(True)
-        fit = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=60)
-        self.model = fit.fit(self.vectorizer.transform(rows.where("not held")))
-        reached = self.scored(rows.where("held and label = 0")).agg(
-            F.percentile("probability_of", F.lit(0.99))).first()[0]
-        self.least = max(LEAST, reached or 0.0)
+        sizes = rows.where("not held").agg(
+            F.count_if(~F.col("line")).alias("pieces"), F.sum(F.when(F.col("line"), F.col("n"))).alias("lines"),
+            F.count(F.lit(1)).alias("rows")).first()
+        share = min(1.0, sizes["pieces"] / max(1, sizes["lines"] or 0))
+        rows = rows.withColumn("weight", F.when(F.col("line"), F.col("n") * share).otherwise(1.0))
+        learned = rows.where("not held").coalesce(max(4, sizes["rows"] // PART))
+        fit = LogisticRegression(
+            family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=60, weightCol="weight")
+        self.model = fit.fit(self.vectorizer.transform(learned))
+        step = (F.ceil(F.col("probability_of") * STEPS) / STEPS).alias("step")
+        reached = self.scored(rows.where("held and label = 0")).groupBy(step).agg(F.sum("n").alias("n"))
+        reached = reached.orderBy("step").collect()
+        most, total = 0.0, sum(r["n"] for r in reached)
+        for r, up_to in zip(reached, itertools.accumulate(r["n"] for r in reached)):
+            most = r["step"]
+            if up_to >= 0.99 * total:
+                break
+        self.least = max(LEAST, most)
+
+    def line_features(self, docs: DataFrame, text: str) -> DataFrame:
+        """The `grams` that are features, of every line of the documents that has words: how many different lines (`n`)
+        have them, apart for those held back from the fit. Lines without a cue have none, so no n-grams are made."""
+        cues, features = F.array(*map(F.lit, self.cues)), F.array(*map(F.lit, self.features))
+        lines = docs.select(F.explode(F.transform(F.split(text, "\n"), words)).alias("words")).where(F.size("words") > 0)
+        two = word_pairs(F.col("words"))
+        n = F.greatest(F.size("words") - 2, F.lit(0))
+        three = F.zip_with(F.slice(two, 1, n), F.slice("words", 3, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        own = F.array_sort(F.array_intersect(F.concat("words", two, three), features))
+        lines = lines.select(F.xxhash64("words").alias("line"), F.when(F.arrays_overlap("words", cues), own).otherwise(
+            F.array().cast("array<string>")).alias("grams")).distinct()
+        return lines.groupBy("grams", (F.pmod("line", F.lit(5)) == 0).alias("held")).agg(F.count(F.lit(1)).alias("n"))
 
     def could_be_confirmed(self, word: Column) -> Column:
         """False only if fewer than the CONFIRMED share of the distinct word pairs can be those of one family.

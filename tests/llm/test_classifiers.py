@@ -226,3 +226,18 @@ def test_long_repeated_and_clashing_licence_lines(spark, licences):
     docs = spark.createDataFrame(rows, "doc_id long, text string, family string, row int")
     got = [(r["doc_id"], r["place"], r["family"]) for r in P.licence_paragraphs(docs, licences).collect()]
     assert sorted(got) == [(1, 0, "mit"), (2, 0, "mit"), (2, 0, "mit"), (3, 0, "mit"), (3, 1, "mit"), (4, 0, "mit")]
+
+
+def test_licence_model_learns_from_every_line(spark):
+    """Each of 3000 documents has a line of its own; the lines' features are those of their n-grams."""
+    rows = [(i, f"tale{i} of the public license\nrain\n\n{'free software ' * (i % 3)}word{i % 7}") for i in range(3000)]
+    lines = {tuple(line.split()) for _, text in rows for line in text.split("\n") if line}
+    model = P.LicenceModel(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {}
+    for line in lines:
+        own = {" ".join(line[i : i + n]) for n in (1, 2, 3) for i in range(len(line) - n + 1)} & set(model.features)
+        want[tuple(sorted(own))] = want.get(tuple(sorted(own)), 0) + 1
+    got = {}
+    for r in model.lines.collect():
+        got[tuple(r["grams"])] = got.get(tuple(r["grams"]), 0) + r["n"]
+    assert got == want and sum(got.values()) == len(lines) == 3000 + 1 + 7 * 3
