@@ -146,12 +146,26 @@ def compare_buckets(mixed: DataFrame, content: DataFrame, column: str, features:
     return per_block_pair(one_of_each_set(mixed), content, [column], links, "u long, v long", most)
 
 
-def with_possible_partner(mixed: DataFrame, sketches: DataFrame, weights: tuple[int, int]) -> DataFrame:
+def in_no_common(lists: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each u (row) and v (column) whether their lists have nothing in common; a list holds a value once."""
+    both = np.unique(np.concatenate([u, v]))
+    column, times = np.unique(np.concatenate([np.zeros(0, np.int64), *(lists[p] for p in both)]), return_counts=True)
+    column = column[times > 1]
+    common = np.zeros((len(both), len(both)), np.float32)
+    for c in range(0, len(column), COLUMNS):
+        part = column[c : c + COLUMNS]
+        held = np.stack([np.isin(part, lists[p]) for p in both]).astype(np.float32)
+        common += held @ held.T
+    return common[np.searchsorted(both, u)][:, np.searchsorted(both, v)] == 0
+
+
+def with_possible_partner(mixed: DataFrame, sketches: DataFrame, weights: tuple[int, int], once: bool = False) -> DataFrame:
     """The rows of `mixed` (band, node, root) whose sketch allows a link with a node of another root in the same bucket.
 
     `sketches` has `node`, `sketch` (counts of features by cell) and `features` (their number); a link is possible if
     the counts differ by at most weights[1] / weights[0] of the sum of both numbers. What comes out grows with the rows,
-    not with their pairs.
+    not with their pairs. With `once` a pair counts only in one of the buckets that hold it, the largest one (of equal
+    ones, the first by name), so a node is not kept in every bucket that it shares with the same nodes.
     """
 
     def flag(group: pa.Table) -> pa.RecordBatch:
@@ -160,16 +174,31 @@ def with_possible_partner(mixed: DataFrame, sketches: DataFrame, weights: tuple[
         counts = group.column("sketch").combine_chunks()
         counts = counts.flatten().to_numpy().reshape(len(node), -1).astype(np.int32)
         near = np.zeros(len(node), bool)
+        if once:  # the buckets of a node that come before this one
+            listed, held = group.column("buckets").combine_chunks(), []
+            ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy()
+            for r in range(len(node)):
+                own = flat[ends[r] : ends[r + 1]]
+                held.append(own[: np.flatnonzero(own == band[r])[0]])
         first, second = (np.flatnonzero(block == b) for b in (block.min(), block.max()))
         for a in range(0, len(first), 128):
             for b in range(a if block.min() == block.max() else 0, len(second), 128):
                 u, v = first[a : a + 128], second[b : b + 128]
                 apart = np.abs(counts[u][:, None, :] - counts[v][None, :, :]).sum(2)
                 could = (weights[0] * apart <= weights[1] * (size[u][:, None] + size[v])) & (root[u][:, None] != root[v])
+                if once and could.any():
+                    could &= in_no_common(held, u, v)
                 near[u] |= could.any(1)
                 near[v] |= could.any(0)
         return pa.RecordBatch.from_arrays([pa.array(band[near]), pa.array(node[near])], names=["band", "node"])
 
-    content = sketches.withColumn("size", F.size("sketch"))
-    flagged = per_block_pair(one_of_each_set(mixed), content, ["sketch", "features"], flag, "band long, node long")
+    content, columns, each = sketches.withColumn("size", F.size("sketch")), ["sketch", "features"], one_of_each_set(mixed)
+    if once:
+        each = materialise(each.select("band", "node", "root"), "each-set")
+        large = each.join(materialise(each.groupBy("band").count(), "bucket-sizes"), "band")
+        order = F.struct((-F.col("count")).alias("n"), "band")
+        listed = large.groupBy("node").agg(F.array_sort(F.collect_list(order)).alias("b"))
+        content = content.join(materialise(listed.select("node", F.col("b.band").alias("buckets")), "node-buckets"), "node")
+        columns = [*columns, "buckets"]
+    flagged = per_block_pair(each, content, columns, flag, "band long, node long")
     return mixed.join(materialise(flagged.distinct(), "flagged"), ["band", "node"], "left_semi")

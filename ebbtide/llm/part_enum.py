@@ -13,7 +13,8 @@ for each band so that a signature is expected to hold FEATURES features, with as
 
 Equal sets are one node. In a bucket (nodes with one signature) each node is compared with one pivot, which then leaves the
 bucket, in rounds; links are merged into components. Buckets that then hold several components still are compared completely in
-blocks of bounded size (`blocks`), first their sketches, then the texts of those that could have a partner. A pair is left out before its texts are joined only if the sets cannot be linked: by
+blocks of bounded size (`blocks`), first their sketches, then the texts of those that could have a partner, each pair in one
+of the buckets that hold it. A pair is left out before its texts are joined only if the sets cannot be linked: by
 their sizes, or by a sketch, the number of features in each of 64 cells, as sets whose counts differ by D in all have at
 least D different features. Nothing else decides: links are verified on the whole sets. Features are 64-bit hashes
 of shingles; equal sets are recognised by size and two such sums.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.llm.blocks import compare_buckets, one_of_each_set, with_possible_partner
@@ -227,8 +228,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     discard(written)
     signs = nodes.select("node", F.explode("bands").alias("band"))
-    several = materialise(signs.groupBy("band").count().where("count > 1").select("band"), "several")
-    members = materialise(signs.join(several, "band", "left_semi"), "members")
+    # one shuffle of the signatures, of which most belong to one node
+    members = signs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1").drop("n")
+    members = materialise(members, "members")
     members = materialise(one_of_each_set(members), "kept-members")
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.text_hash", "row.key")
@@ -266,7 +268,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             links = links.unionByName(materialise(linked(near, texts, length, least), "checked"))
         else:
             counted = sketches.withColumnRenamed("size", "features")
-            left = with_possible_partner(mixed.select("band", "node", "root"), counted, (high + low, high - low))
+            left = with_possible_partner(mixed.select("band", "node", "root"), counted, (high + low, high - low), once=True)
             joined = compare_buckets(materialise(left, "left"), texts, "text",
                                      functools.partial(sets_in, length=length), similar)
             links = links.unionByName(materialise(joined, "joined"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from ebbtide.llm import part_enum as P
+from ebbtide.llm.blocks import with_possible_partner
 from ebbtide.llm.grams import packed
 
 SCHEMA = "doc_id long, text string"
@@ -127,3 +128,23 @@ def test_hot_groups_long_texts_and_one_key_for_many_rows(spark):
 
 def test_empty_table(spark):
     assert P.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_pair_is_kept_in_one_of_its_buckets(spark):
+    """Every pair that the sketches allow stays together somewhere, and only in the first bucket that it shares."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 9, (5, 16))
+    counts = {k: (base[k % 5] + (rng.random(16) < 0.1)).tolist() for k in range(50)}
+    sketches = spark.createDataFrame([(k, c, sum(c)) for k, c in counts.items()], "node long, sketch array<int>, features long")
+    held = {b: sorted(rng.choice(50, 25 if b < 3 else 8, replace=False).tolist()) for b in range(12)}
+    held[20], held[21] = held[0], held[5]
+    mixed = [(b, k, k // 10) for b, nodes in held.items() for k in nodes]
+    got = with_possible_partner(
+        spark.createDataFrame(mixed, "band long, node long, root long"), sketches, (19, 1), once=True)
+    want = set()
+    for u, v in itertools.combinations(range(50), 2):
+        apart = sum(abs(x - y) for x, y in zip(counts[u], counts[v]))
+        shared = sorted((-len(nodes), b) for b, nodes in held.items() if u in nodes and v in nodes)
+        if shared and u // 10 != v // 10 and 19 * apart <= sum(counts[u]) + sum(counts[v]):
+            want |= {(shared[0][1], u), (shared[0][1], v)}
+    assert {(r["band"], r["node"]) for r in got.select("band", "node").collect()} == want and want
