@@ -12,10 +12,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
-from ebbtide.operators import evaluation, forests, logistic, sampling, screening, trees
+from ebbtide.operators import evaluation, forests, growth, logistic, sampling, screening, trees
 from ebbtide.operators.encoding import dummy_columns, linear_inputs, tree_inputs
 from ebbtide.params import ForestParams, LogisticParams, TreeParams
-from ebbtide.session import materialise
+from ebbtide.session import materialise, new_path
 
 
 def uniform(name):
@@ -319,6 +319,70 @@ def test_out_of_bag_votes_equal_those_of_single_trees(vectors):
         cells[1, True], cells[0, True], cells[1, False], cells[0, False])
 
 
+def saved_tree(spark, path):
+    """Nodes of a saved tree; a leaf's impurity is left out, which spark.ml sets to -1 where no split was allowed."""
+    found = []
+    for r in spark.read.parquet(f"{path}/data").select("nodeData.*").orderBy("id").collect():
+        split = r["split"]
+        found.append((r["id"], r["prediction"], tuple(r["impurityStats"]), r["rawCount"], r["gain"], r["leftChild"], r["rightChild"],
+                      split["featureIndex"], sorted(split["leftCategoriesOrThreshold"]), split["numCategories"]))
+    return found
+
+
+@pytest.mark.parametrize("tries, min_node, depth", [(2, 1, 30), (3, 5, 30), (4, 10, 30), (1, 2, 4)])
+def test_a_grown_tree_is_the_one_that_spark_fits(spark, vectors, tries, min_node, depth):
+    weight = (F.abs(F.xxhash64("client_id", F.lit("w"))) % 4).cast("double")
+    fitted = RandomForestClassifier(
+        labelCol="churned", weightCol="w", numTrees=1, bootstrap=False, featureSubsetStrategy=str(tries), maxDepth=depth,
+        minInstancesPerNode=min_node, maxBins=128, seed=7).fit(vectors.withColumn("w", weight).filter("w > 0"))
+    saved = new_path(spark, "one-tree")
+    fitted.write().save(saved)
+    params = ForestParams(tries, 1, min_node=min_node, max_depth=depth)
+    data = forests.training_codes(vectors, "churned", F.array(weight.cast("byte")), 1)
+    grown = saved_tree(spark, forests.grown_forest(spark, data, params, 1, 7))
+    assert grown == saved_tree(spark, saved) and (depth == 4 or len(grown) > 50)
+    assert any(n[9] == 4 for n in grown)  # a split by categories
+
+
+def test_fits_of_the_grid_are_whole_fits(spark, vectors):
+    """A task's scores are those of a model that is fitted on the other folds and judged as a model is."""
+    grid = [ForestParams(2, t, r, s, k, max_depth=8) for r in (0.6, 1.0) for s in (1, 5) for t in (3, 40) for k in (None, 6)]
+    got = forests.grid_scores(vectors, grid, 3, levels=4)
+    want = np.zeros(len(grid))
+    for fold in range(3):
+        rest, held = vectors.filter(F.col("fold") != fold), vectors.filter(F.col("fold") == fold)
+        for first in range(0, len(grid), 4):
+            members = grid[first:first + 4]
+            model = forests.fit_forest(rest, members[-1], levels=4)
+            want[first:first + 4] += np.array(forests.nested_accuracy(model, held, members)) / 3
+    assert got == pytest.approx(want)
+
+
+def test_forests_do_not_depend_on_partitions_and_copies_are_drawn(spark, vectors):
+    copied = vectors.unionAll(vectors.filter("churned = 1"))
+    a = forests.training_codes(copied, "churned")
+    b = forests.training_codes(copied.repartition(7, "features"), "churned")
+    assert all(np.array_equal(a[c], b[c]) for c in ("codes", "label", "fold", "copies"))
+    assert len(a["copies"]) == vectors.count() and a["copies"].sum() == copied.count()
+    drawn = np.array([growth.bag(a["copies"], 0.7, 1, t) for t in range(200)])
+    assert drawn.mean(axis=0) == pytest.approx(0.7 * a["copies"], abs=0.4)
+    assert drawn.sum() / 200 == pytest.approx(0.7 * copied.count(), rel=0.02)
+    trees = growth.grow(growth.Bins(a, a["copies"], 32), a["label"], drawn[:3], np.arange(3), 2, 4, 30)
+    for t, w in zip(trees, drawn):
+        leaf = t["left"] < 0
+        assert t["no"][0] + t["yes"][0] == w.sum() == t["rows"][0] and min(t["rows"][leaf]) >= 4
+
+
+def test_larger_tables_are_fitted_by_passes(spark, vectors, monkeypatch):
+    grid = [ForestParams(2, t, max_depth=5) for t in (3, 9)]
+    params = ForestParams(2, max_depth=5, max_leaves=9)
+    sent, votes = forests.grid_scores(vectors, grid, 3, levels=4), forests.out_of_bag(vectors, params, trees=5, levels=4).first()
+    monkeypatch.setattr(forests, "GROWN", 0)
+    assert forests.training_codes(vectors, "churned") is None
+    assert forests.grid_scores(vectors, grid, 3, levels=4) == pytest.approx(sent, abs=0.05)
+    assert forests.out_of_bag(vectors, params, trees=5, levels=4).first() == votes
+
+
 def test_bag_weights_are_poisson(spark):
     df = spark.range(20000).withColumn("w", forests.poisson_weight(F.col("id"), 1, 0))
     row = df.agg(F.avg("w").alias("m"), F.avg((F.col("w") == 0).cast("int")).alias("zero")).first()
