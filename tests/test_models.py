@@ -12,9 +12,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
+import registry
 from ebbtide.operators import evaluation, forests, growth, logistic, sampling, screening, trees
 from ebbtide.operators.encoding import dummy_columns, linear_inputs, tree_inputs
-from ebbtide.params import ForestParams, LogisticParams, TreeParams
+from ebbtide.params import ForestParams, LogisticParams, TreeParams, forest_grid
 from ebbtide.session import materialise, new_path
 
 
@@ -383,6 +384,13 @@ def test_larger_tables_are_fitted_by_passes(spark, vectors, monkeypatch):
     assert forests.out_of_bag(vectors, params, trees=5, levels=4).first() == votes
 
 
+def test_registered_forests_are_the_whole_grid():
+    grid = registry.FITS.forests
+    assert set(grid) == set(forest_grid(33)) and len(grid) == 324
+    assert {p.trees for p in grid} == {100, 300, 500} and {p.sample_rate for p in grid} == {0.6, 0.7, 0.8, 1.0}
+    assert {p.min_node for p in grid} == {1, 5, 10}
+
+
 def test_bag_weights_are_poisson(spark):
     df = spark.range(20000).withColumn("w", forests.poisson_weight(F.col("id"), 1, 0))
     row = df.agg(F.avg("w").alias("m"), F.avg((F.col("w") == 0).cast("int")).alias("zero")).first()
